@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspan.llm.neardup import op3_hyperminhash_near_dedup
 from loomspan.llm.packing import op7_cost_balanced_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_hyperminhash_near_dedup": op3_hyperminhash_near_dedup,
     "op7_cost_balanced_packing": op7_cost_balanced_packing,
 }
 SQL: dict[str, str] = {}

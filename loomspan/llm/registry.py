@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.llm.neardup import op3_hyperminhash_near_dedup
 from loomspan.llm.packing import op7_cost_balanced_packing
+from loomspan.llm.substrings import op10_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hyperminhash_near_dedup": op3_hyperminhash_near_dedup,
     "op7_cost_balanced_packing": op7_cost_balanced_packing,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 SQL: dict[str, str] = {}

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspan.llm.neardup import op3_hyperminhash_near_dedup
 from loomspan.llm.packing import op7_cost_balanced_packing
 from loomspan.llm.pii import op6_personal_data
+from loomspan.llm.quality import op5_likelihood_quality
 from loomspan.llm.secrets import op2_secret_ownership
 from loomspan.llm.substrings import op10_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_ownership": op2_secret_ownership,
     "op3_hyperminhash_near_dedup": op3_hyperminhash_near_dedup,
+    "op5_likelihood_quality": op5_likelihood_quality,
     "op6_personal_data": op6_personal_data,
     "op7_cost_balanced_packing": op7_cost_balanced_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,

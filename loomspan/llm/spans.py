@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 _BLOCK = 256
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: a lambda's own expressions are computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running_sum(lengths: Column) -> Column:
     """Running sums of an array of longs. Two levels, so that an array of n costs n * 128 steps, not n * n."""
+    return let(lengths, _running_sum)
+
+
+def _running_sum(lengths: Column) -> Column:
     zero = F.lit(0).cast("long")
     n_blocks = F.ceil(F.size(lengths) / F.lit(_BLOCK)).cast("int")
     block = lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))
@@ -21,7 +30,7 @@ def running_sum(lengths: Column) -> Column:
     blocks = F.sequence(F.lit(0), n_blocks - 1)
     sums = F.transform(blocks, lambda b: F.aggregate(block(b), zero, lambda acc, x: acc + x))
     base = F.aggregate(sums, F.array(zero), grow)
-    one_by_one = F.flatten(F.transform(blocks, lambda b: F.slice(F.aggregate(block(b), F.array(F.element_at(base, b + 1)), grow), 2, _BLOCK)))
+    one_by_one = let(base, lambda at: F.flatten(F.transform(blocks, lambda b: F.slice(F.aggregate(block(b), F.array(F.element_at(at, b + 1)), grow), 2, _BLOCK))))
     return F.when(F.size(lengths) == 0, F.array().cast("array<long>")).when(F.size(lengths) <= _BLOCK, F.slice(F.aggregate(lengths, F.array(zero), grow), 2, _BLOCK)).otherwise(one_by_one)
 
 

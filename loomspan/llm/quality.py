@@ -50,7 +50,7 @@ def weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """docs: (doc_id, text); trusted: (doc_id), distinct. Log ratio of each bucket; all 0 without trusted documents."""
     few = trusted.count() <= BROADCAST_IDS
     marked = docs.join(F.broadcast(trusted) if few else trusted, "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), _hashed(words_of(F.col("text"))).alias("h"))
-    grams = marked.where(F.size("h") > 0).select("good", F.explode(_grams(F.col("h"))).alias("bucket"))
+    grams = marked.select("good", F.explode_outer(_grams(F.col("h"))).alias("bucket")).where("bucket is not null")
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect():  # BUCKETS rows at most
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import common
 from loomspan.llm.gbt import Trees, isotonic
-from loomspan.llm.spans import how_many, places, written
+from loomspan.llm.spans import how_many, let, places, written
 
 # The formats of the base kinds, as the contract states them. Guards make a match start where its run
 # starts, or where the last match ended, so that long runs cost linear time; possessive groups don't recurse.
@@ -160,8 +160,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     taken = F.filter("open", lambda s: score(s) >= least)
     slim = F.transform(taken, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     wide = wide.select("doc_id", "base", F.when(F.size("open") > 0, slim).otherwise(none).alias("taken"))
-    larger = lambda s: F.exists("taken", lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]) & ((t["end"] - t["start"] > s["end"] - s["start"]) | ((t["end"] - t["start"] == s["end"] - s["start"]) & (t["rank"] < s["rank"]))))
-    return wide.select("doc_id", "base", F.filter("taken", lambda s: ~larger(s)).alias("added"))
+    larger = lambda all_, s: F.exists(all_, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]) & ((t["end"] - t["start"] > s["end"] - s["start"]) | ((t["end"] - t["start"] == s["end"] - s["start"]) & (t["rank"] < s["rank"]))))
+    return wide.select("doc_id", "base", let(F.col("taken"), lambda all_: F.filter(all_, lambda s: ~larger(all_, s))).alias("added"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +171,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     held = common.settle(docs.select(F.struct(*(F.col(c) for c in names)).alias("d"), F.monotonically_increasing_id().alias("row")), "personal-docs")
     spans = find_personal_data(held.select("row", F.col(f"d.{text_col}").alias("text")), "row", "text")
     every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
-    spans = spans.where(F.size("base") + F.size("added") > 0).select(F.col("doc_id").alias("row"), every.alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("row"), every.alias("spans"))
     wide = held.join(spans, "row", "left")
     text = F.coalesce(F.col(f"d.{text_col}"), F.lit(""))
     piece = F.aggregate(

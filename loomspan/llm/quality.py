@@ -105,7 +105,10 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         F.when(F.size("grams") > 0, F.round(total / F.size("grams"), 6)).otherwise(0.0).alias("score"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    verdict = ~failed & (F.col("score") >= threshold)
+    if keep:  # a filter on a plain verdict would be pushed below the columns that it is made of, and compute them again
+        verdict = verdict & (F.monotonically_increasing_id() >= 0)
+    out = out.withColumn("base_failed", failed).withColumn("kept", verdict)
     return out.where("kept").select(*(F.col(f"d.{c}").alias(c) for c in docs.columns)) if keep else out
 
 

@@ -76,11 +76,11 @@ def _templated(rows: DataFrame) -> DataFrame:
 
 def _slotted(rows: DataFrame, id_name: str, slot: str) -> DataFrame:
     """(id, key, slot values) of the windows with slots."""
-    each = rows.select(id_name, "words", "template", F.posexplode_outer("windows").alias("at", "key"))
-    each = each.where("key is not null")
-    part = lambda c: F.slice(c, F.col("at") + 1, WINDOW)
-    pairs = F.filter(F.arrays_zip(part("template").alias("t"), part("words").alias("w")), lambda x: x["t"].between(1, 3))
-    return each.select(id_name, "key", F.transform(pairs, lambda x: F.lower(x["w"])).alias(slot)).where(F.size(slot) > 0)
+    pairs = F.transform(F.arrays_zip(F.col("template").alias("t"), F.col("words").alias("w")), lambda x: F.struct(x["t"].alias("t"), F.lower(x["w"]).alias("w")))
+    values = lambda z, i: F.transform(F.filter(F.slice(z, i + 1, F.lit(WINDOW)), lambda x: x["t"].between(1, 3)), lambda x: x["w"])
+    every = lambda z: F.filter(F.transform("windows", lambda key, i: F.struct(key.alias("key"), values(z, i).alias("slot"))), lambda s: F.size(s["slot"]) > 0)
+    # the windows with slots only are exploded, and without their text's arrays
+    return rows.select(id_name, F.explode_outer(let(pairs, every)).alias("s")).select(id_name, "s.key", F.col("s.slot").alias(slot)).where("key is not null")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

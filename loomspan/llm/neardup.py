@@ -7,9 +7,11 @@ as their sets overlap, however small. Five registers make a band, 28 bands a ske
 band with probability 1.5e-5, less for more similar ones.
 
 Texts with one set are one class, and only its least id goes on. Sets of up to three runs can't reach 4/5 unless equal,
-so they are not banded. In each band bucket the members are paired with its least id; each class is first tested against
-the hub that it meets most often, and only pairs of classes that are in different components afterwards are tested one
-by one, if their estimate is not far below the threshold. Every accepted pair has been compared by its full sets.
+so they are not banded. In each band bucket the members are paired with its least id, the hub; each class is first tested
+against the hub that it meets most often. Classes that resemble a hub then form clusters. A cluster that is not one
+component by now is compared as a whole: its sets are dealt to blocks, every two blocks meet in one task, and only links
+that join two components leave it, so that a large family of copies costs no row per pair. Classes of different clusters
+that share a bucket by chance are tested one by one. Every accepted pair has been compared by its full sets.
 
 Defined results: empty or null texts and texts of white space have an empty set and are linked with nothing; rows with a
 null id have a null component and are kept; rows with the same id are one document, linked by their id; an empty table
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ MANTISSA = 10
 CHANCE = 0.169919487159739
 #: An estimate that is lower than the threshold by this is five standard deviations off.
 MARGIN = 0.17
+#: An estimate from which on a class belongs to its hub's cluster, and classes in a block of a cluster.
+ALIKE, BLOCK = 0.4, 512
 #: Ids of texts to compare: up to so many (8 MB) are broadcast to the scan, more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -92,15 +97,12 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np
     return ((x == y).mean(axis=1) - chance) / (1 - chance)
 
 
-def _likely(least: float):
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, REGISTERS) for k in ("ra", "rb"))
-                nx, ny = (batch.column(k).to_numpy().astype(float) for k in ("na", "nb"))
-                yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y, nx, ny) >= least))
-
-    return likely
+def _scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, REGISTERS) for k in ("ra", "rb"))
+            nx, ny = (batch.column(k).to_numpy().astype(float) for k in ("na", "nb"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(estimate(x, y, nx, ny))], names=["a", "b", "likeness"])
 
 
 def _proof(n: int, percent: int):
@@ -116,16 +118,82 @@ def _proof(n: int, percent: int):
     return proof
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int, label: str) -> DataFrame:
-    """Those of pairs (a, b) whose full sets reach the threshold."""
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every two sets, by products of 0/1 matrices over `width` values at a time."""
+    values, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    sizes = np.array([len(x) for x in (*left, *right)])
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(codes, kind="stable")
+    codes, rows = codes[order], rows[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(values), width):
+        i, j = np.searchsorted(codes, [first, first + width])
+        dense = np.zeros((len(sizes), width), np.float32)
+        dense[rows[i:j], codes[i:j] - first] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out
+
+
+def _sets(n: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.tobytes() for s in wordhash.shingle_sets(batch.column(1), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "prints"])
+
+    return sets
+
+
+def _block_links(percent: int):
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        """One pair of blocks: a link for each two components that have one."""
+        group = group.sort_values(["block", "rep"])
+        inner = group["lo"].iloc[0] == group["hi"].iloc[0]
+        x = group if inner else group[group["block"] == group["lo"]]
+        y = group if inner else group[group["block"] == group["hi"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"u": [], "v": []})
+        a, b = ([np.frombuffer(v, np.uint64) for v in side["prints"]] for side in (x, y))
+        both = np.array([len(v) for v in a])[:, None] + np.array([len(v) for v in b])[None, :]
+        shared = shared_counts(a, b).astype(np.int64)
+        i, j = np.nonzero((100 * shared >= percent * (both - shared)) & (x["part"].to_numpy()[:, None] != y["part"].to_numpy()[None, :]))
+        out = pd.DataFrame({"u": x["rep"].to_numpy()[i], "v": y["rep"].to_numpy()[j], "p": x["part"].to_numpy()[i], "q": y["part"].to_numpy()[j]})
+        return out.drop_duplicates(["p", "q"])[["u", "v"]]
+
+    return links
+
+
+def _scored(pairs: DataFrame, reps: DataFrame, label: str) -> DataFrame:
+    """(a, b, likeness) of the pairs, by their registers."""
     marks = reps.select(F.col("rep").alias("id"), "n_shingles", "registers")
     wide = pairs.join(marks.toDF("a", "na", "ra"), "a").join(marks.toDF("b", "nb", "rb"), "b")
-    likely = common.settle(common.map_arrow(wide, _likely(percent / 100 - MARGIN), "a long, b long"), f"{label}-likely")
-    ids = common.settle(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), f"{label}-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = common.settle(docs.join(wanted, "doc_id"), f"{label}-texts")
-    both = likely.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
-    return common.settle(common.map_arrow(both.select("a", "b", "text_a", "text_b"), _proof(n, percent), "a long, b long"), f"{label}-links")
+    return common.settle(common.map_arrow(wide, _scorer, "a long, b long, likeness double"), f"{label}-scored")
+
+
+def _texts(ids: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """docs of the ids (doc_id), settled."""
+    ids = common.settle(ids.distinct(), f"{label}-ids")
+    return common.settle(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id"), f"{label}-texts")
+
+
+def _proved(pairs: DataFrame, docs: DataFrame, n: int, percent: int, label: str) -> DataFrame:
+    """Those of pairs (a, b) whose full sets reach the threshold, as edges (u, v)."""
+    found = _texts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, label)
+    both = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
+    links = common.map_arrow(both.select("a", "b", "text_a", "text_b"), _proof(n, percent), "a long, b long")
+    return common.settle(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{label}-links")
+
+
+def _in_clusters(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """members: (cluster, rep, part). Edges (u, v) between components of one cluster, from comparing all its sets."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    open_ = members.join(sizes, "cluster").select("cluster", "rep", "part", blocks.alias("blocks"))
+    open_ = common.settle(open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "near-clusters")
+    texts = _texts(open_.select(F.col("rep").alias("doc_id")), docs, "near-clusters")
+    sets = common.map_arrow(texts.select("doc_id", "text"), _sets(n), "rep long, prints binary")
+    met = open_.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("cluster", "rep", "part", "prints", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return common.settle(met.groupBy("cluster", "lo", "hi").applyInPandas(_block_links(percent), "u long, v long"), "near-cluster-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, percent: int = 80) -> DataFrame:
@@ -149,18 +217,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = met.where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
     best = Window.partitionBy("rep").orderBy(F.desc("n"), "hub")
     first_pairs = tried.withColumn("k", F.row_number().over(best)).where("k = 1").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = _confirmed(first_pairs, docs, reps, n, percent, "near-hub")
-    found = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same_id)
+    scored = _scored(first_pairs, reps, "near-hub")
+    links = _proved(scored.where(F.col("likeness") >= percent / 100 - MARGIN).select("a", "b"), docs, n, percent, "near-hub")
+    found = links.unionByName(same_id)
     parts = common.settle(graph.components(found, "near-graph"), "near-parts")
 
-    placed = met.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    alike = scored.where(F.col("likeness") >= ALIKE).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(tried.where("n > 1").select(F.col("hub").alias("u"), F.col("rep").alias("v")))
+    clusters = graph.components(alike, "near-alike").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    part_of = parts.select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    members = common.settle(clusters.join(part_of, "rep", "left").select("cluster", "rep", F.coalesce("part", "rep").alias("part")), "near-members")
+    inner = _in_clusters(members, docs, n, percent)
+
+    placed = met.join(members, "rep", "left").join(part_of.withColumnRenamed("part", "own"), "rep", "left")
+    placed = placed.select("key", "rep", "n_shingles", F.coalesce("part", "own", "rep").alias("part"), F.coalesce("cluster", "rep").alias("cluster"))
+    mixed = placed.groupBy("key").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("key")
     open_ = common.settle(placed.join(mixed, "key", "left_semi"), "near-open")
-    left, right = open_.toDF("key", "a", "na", "pa"), open_.toDF("key", "b", "nb", "pb")
-    rest = left.join(right, "key").where("pa <> pb and a < b and 100 * least(na, nb) >= %d * greatest(na, nb)" % percent).select("a", "b").distinct()
-    more = _confirmed(rest, docs, reps, n, percent, "near-rest")
-    every = found.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    parts = graph.components(every, "near-graph") if more.take(1) else parts
+    left, right = open_.toDF("key", "a", "na", "pa", "ca"), open_.toDF("key", "b", "nb", "pb", "cb")
+    rest = left.join(right, "key").where("ca <> cb and pa <> pb and a < b and 100 * least(na, nb) >= %d * greatest(na, nb)" % percent).select("a", "b").distinct()
+    rest = _scored(rest, reps, "near-rest").where(F.col("likeness") >= percent / 100 - MARGIN).select("a", "b")
+    outer = _proved(rest, docs, n, percent, "near-rest")
+    more = inner.unionByName(outer)
+    parts = graph.components(found.unionByName(more), "near-graph") if more.take(1) else parts
 
     of_id = first_of.join(parts.withColumnRenamed("node", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles").join(of_id, "doc_id", "left")

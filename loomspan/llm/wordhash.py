@@ -108,7 +108,7 @@ def runs(prints: np.ndarray, n: int) -> np.ndarray:
     if len(prints) < n:
         return np.zeros(0, np.uint64)
     last = len(prints) - n + 1
-    out = np.full(last, np.uint64(n) * _BASE)
+    out = np.full(last, n, np.uint64) * _BASE
     for k in range(n):
         out = mix(out * _BASE + prints[k : k + last])
     return out

@@ -16,13 +16,18 @@ def residualize(y: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return y - x @ beta
 
 
+def null_space(c: np.ndarray) -> np.ndarray:
+    """An orthonormal basis, in columns, of the x with c @ x = 0."""
+    _, s, vt = np.linalg.svd(c, full_matrices=True)
+    return vt[int((s > 1e-12 * max(1.0, s.max(initial=0.0))).sum()) :].T
+
+
 def constrained_wls(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Coefficients of least weighted squares with c @ beta = 0, solved in the constraint's null space with columns
     scaled to unit length."""
     scale = np.sqrt((w[:, None] * x * x).sum(axis=0))
     scale[scale == 0] = 1.0
-    u, s, vt = np.linalg.svd(c / scale, full_matrices=True)
-    basis = vt[int((s > 1e-12 * max(1.0, s.max(initial=0.0))).sum()) :].T
+    basis = null_space(c / scale)
     root = np.sqrt(w)
     z = np.linalg.lstsq((x / scale) @ basis * root[:, None], y * root, rcond=1e-12)[0]
     return basis @ z / scale

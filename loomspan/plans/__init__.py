@@ -1,5 +1,5 @@
 """Queries by subject; importing the modules fills the catalog."""
 
-from loomspan.plans import aggregates, crosssection, inference, paths, pipelines, relational, sources, windows
+from loomspan.plans import aggregates, algebra, crosssection, inference, paths, pipelines, relational, sources, windows
 
-__all__ = ["aggregates", "crosssection", "inference", "paths", "pipelines", "relational", "sources", "windows"]
+__all__ = ["aggregates", "algebra", "crosssection", "inference", "paths", "pipelines", "relational", "sources", "windows"]

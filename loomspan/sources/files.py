@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,3 +48,17 @@ def replay_envelopes(spark: SparkSession, path: str, schema: StructType) -> Data
 
 def columns_like(df: DataFrame, prefix: str, kind: str = "double") -> list[str]:
     return [f.name for f in df.schema.fields if f.name.startswith(prefix) and f.dataType.typeName() == kind]
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name where all machines of the cluster can read; local only where spark.checkpoint.dir is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="loomspan-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/loomspan/{label}-{uuid.uuid4().hex}"
+
+
+def content(df: DataFrame) -> DataFrame:
+    """Row count and a checksum of all columns that does not depend on the rows' order."""
+    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")).alias("checksum"))

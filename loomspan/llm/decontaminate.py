@@ -85,7 +85,7 @@ def _slotted(rows: DataFrame, id_name: str, slot: str) -> DataFrame:
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(row, doc_id, item_id, n_windows, n_matched, verdict) of each document and item that share enough windows. row
-    numbers the rows of docs as settled here."""
+    numbers the rows of docs, which are read twice: docs must give the same rows in the same order, as stored files do."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bank = common.settle(_templated(items.select("item_id", text.alias("text"))).select("item_id", "words", "template", "windows"), "benchmark")
     keys = common.settle(bank.select("item_id", F.explode_outer("windows").alias("key")).where("key is not null").distinct(), "benchmark-windows")

@@ -204,3 +204,17 @@ def subspace_r_squared(spark, sf_dir):
         return _one(g, r2=round(float(r2), 8), overlap="none" if r2 < 0.1 else "partial" if r2 < 0.3 else "strong")
 
     return _grouped(_cross_section(spark, sf_dir), fit, "trade_date date, r2 double, overlap string")
+
+
+@query("daily_ic_context")
+def daily_ic_context(spark, sf_dir):
+    """What a date's neutral signal rests on: rank and condition of the styles, and the signal's spread after them."""
+
+    def context(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("asset_id")
+        x = _styles(g)[:, [0, 1, 3]]
+        rest = dense.residualize(g["disc"].to_numpy(float), x, np.ones(len(g)))
+        kept = x[:, np.abs(x).max(axis=0) > 0]
+        return _one(g, assets=len(g), rank=dense.scaled_rank(x), condition=round(float(np.linalg.cond(kept)), 4), spread=round(float(rest.std()), 8))
+
+    return _grouped(_cross_section(spark, sf_dir), context, "trade_date date, assets long, rank long, condition double, spread double")

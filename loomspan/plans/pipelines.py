@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.operators.revisions import as_of, upsert
-from loomspan.plans.base import both, query, table
+from loomspan.plans.base import both, query, table, view
 
 _A = "PARTITION BY asset_id ORDER BY trade_date"
 both("financial_pit_normalize", "SELECT o_orderkey, l_linenumber, first_seen, CASE WHEN n = 1 THEN 'original' ELSE 'revised' END AS policy, next_open FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, min(CAST(revision_at AS DATE)) AS first_seen, count(*) AS n, min(m.trade_date) AS next_open FROM rev JOIN mon m ON m.trade_date > CAST(revision_at AS DATE) AND m.trade_date <= CAST(revision_at AS DATE) + INTERVAL 45 DAY GROUP BY l_orderkey, l_linenumber) x")
@@ -65,3 +65,12 @@ both("concept_full_snapshot", "SELECT n_name, expected, observed, expected - obs
 both("evaluation_review_states", "SELECT board, concat_ws(',', CASE WHEN n < 1000 THEN 'SMALL' END, CASE WHEN s > 1 THEN 'VOLATILE' END) AS reasons, n >= 1000 AND s <= 1 AS passed FROM (SELECT board, count(ret) AS n, stddev_samp(ret) AS s FROM supr GROUP BY board) x")
 both("research_attempt_ledger", "SELECT event_type, count(*) AS attempts, count(DISTINCT user_id) AS researchers FROM events GROUP BY event_type")
 both("predictivity_runner", "SELECT board, trade_date, count(*) AS n, round(covar_pop(cap, ret) / nullif(sqrt(var_pop(cap) * var_pop(ret)), 0), 6) AS ic FROM supr WHERE ret IS NOT NULL GROUP BY board, trade_date HAVING count(*) >= 5")
+
+
+@query("bse_transfer_batch_whole", "SELECT s_suppkey, n FROM supplier JOIN (SELECT asset_id, count(*) AS n FROM (SELECT asset_id, trade_date FROM sup WHERE vol > 20 UNION SELECT asset_id, trade_date FROM sup WHERE cap > 40000) u GROUP BY asset_id) o ON o.asset_id = s_suppkey")
+def bse_transfer_batch_whole(spark, sf_dir):
+    """All suppliers, where bse_transfer_batch takes every fifth."""
+    panel = view(spark, sf_dir, "sup")
+    seen = panel.where("vol > 20").select("asset_id", "trade_date").union(panel.where("cap > 40000").select("asset_id", "trade_date")).distinct()
+    n = seen.groupBy(F.col("asset_id").alias("s_suppkey")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "supplier").join(n, "s_suppkey").select("s_suppkey", "n")

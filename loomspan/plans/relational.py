@@ -206,3 +206,23 @@ both("event_fold_to_state", "SELECT asset_id, last_type FROM (SELECT user_id AS
 @query("suspension_semi_union", "SELECT asset_id FROM ev WHERE volume > 4 UNION SELECT asset_id FROM ev WHERE px > 150")
 def suspension_semi_union(spark, sf_dir):
     return run_sql(spark, sf_dir, "SELECT DISTINCT asset_id FROM ev WHERE volume > 4 OR px > 150")
+
+
+# The named queries above take a part of the ids in their SQL; these take all of them.
+@query("calendar_range_join_whole", "SELECT o_orderkey, min(m.k) AS open_rank FROM ord JOIN mon m ON m.trade_date >= d GROUP BY o_orderkey")
+def calendar_range_join_whole(spark, sf_dir):
+    """The forward as-of as an equal join: each open date stands for the days after the one before it."""
+    orders, opened = view(spark, sf_dir, "ord"), view(spark, sf_dir, "mon")
+    first = orders.agg(F.min("d").alias("first"))
+    before = opened.select(F.date_add("trade_date", 1).alias("since"), (F.col("k") + 1).alias("k"))
+    spans = opened.join(before, "k", "left").crossJoin(F.broadcast(first))  # one row
+    spans = spans.withColumn("since", F.coalesce("since", F.least("first", "trade_date")))
+    days = spans.select(F.col("k").alias("open_rank"), F.explode(F.sequence("since", "trade_date")).alias("d"))
+    return orders.join(F.broadcast(days), "d").groupBy("o_orderkey").agg(F.min("open_rank").alias("open_rank"))
+
+
+@query("not_exists_subquery_whole", "SELECT c.trade_date, s_suppkey FROM mon c CROSS JOIN supplier s WHERE NOT EXISTS (SELECT 1 FROM sup p WHERE p.asset_id = s.s_suppkey AND p.trade_date = c.trade_date)")
+def not_exists_subquery_whole(spark, sf_dir):
+    grid = table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(view(spark, sf_dir, "mon").select("trade_date")))
+    priced = view(spark, sf_dir, "sup").select("trade_date", F.col("asset_id").alias("s_suppkey"))
+    return grid.join(priced, ["trade_date", "s_suppkey"], "left_anti").select("trade_date", "s_suppkey")

@@ -29,7 +29,7 @@ from loomspan.llm.spans import let
 
 WINDOW = 5
 PERCENT = 80
-SHARE, LONG = 80, 1 << 30
+SHARE, LONG = 50, 13
 #: Diagonals that are further apart belong to different occurrences.
 SLACK = 8
 #: Item windows (24 bytes each) that may be broadcast.
@@ -45,7 +45,7 @@ _NAME, _JOIN = "\u0002", "\u0003"
 def tokens(text: Column) -> Column:
     """Words with names marked, and with the marks inside a number joined."""
     numbers = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<=[0-9])[.,:/](?=[0-9])", _JOIN)).otherwise(text)
-    named = F.regexp_replace(numbers, r"(?<=[\p{Ll},;]\x20)(?=\p{Lu}\p{Ll})", _NAME)
+    named = F.regexp_replace(numbers, r"(?<![\p{L}\p{N}])(?=\p{Lu}\p{Ll})", _NAME)
     return F.array_remove(F.split(named, r"[^\p{L}\p{N}%€$£\x02\x03]+", -1), "")
 
 

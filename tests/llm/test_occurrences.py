@@ -23,6 +23,13 @@ CASES = {
     "repeats itself": (APPLES, APPLES, "verbatim"),
     "and a sibling": (TRAIN, TRAIN + " . so much for that one , and now for the next of them : " + SIBLING, "verbatim"),
     "sibling alone": (TRAIN, SIBLING, "reparameterised"),
+    "one edit": (PLAIN, edited(10), "verbatim"),
+    "two edits": (PLAIN, edited(7, 14), "verbatim"),
+    "a word more": (PLAIN, " ".join(W[:9] + ["indeed"] + W[9:]), "verbatim"),
+    "three quarters": (PLAIN, " ".join(W[: len(W) * 3 // 4]), "verbatim"),
+    "lower case": (STORY, STORY.lower(), "verbatim"),
+    "names first": (STORY, STORY.replace("John", "Maria").replace("12", "40").replace(" 5 ", " 17 ").replace(" ", "\n", 1), "reparameterised"),
+    "a few words": (PLAIN, " ".join(W[:7]), None),
     "other numbers": (NUMBERS, "a table of 4, 6, 9, 14, 22, 35, 56, 90, 145, 12, 77, 31", None),
 }
 

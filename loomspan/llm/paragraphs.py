@@ -55,8 +55,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return wide.select("doc_id", "text", F.when(F.size("spans") > 0, kept).otherwise(F.col("text")).alias("kept_text"), "spans")
 
 
-def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeated_lines(common.table(spark, sf_dir, "documents"))
+def _written(out: DataFrame) -> DataFrame:
     return out.select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
@@ -65,3 +64,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept_text", 256).alias("kept_sha256"),
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
     )
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(remove_repeated_lines(common.table(spark, sf_dir, "documents")))
+
+
+def op8_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that has a word is a unit, however short."""
+    return _written(remove_repeated_lines(common.table(spark, sf_dir, "documents"), min_words=1))

@@ -10,7 +10,7 @@ from loomspan.llm.decontaminate import op9_template_decontamination
 from loomspan.llm.extraction import op4_template_extraction
 from loomspan.llm.neardup import op3_hyperminhash_near_dedup
 from loomspan.llm.packing import op7_cost_balanced_packing
-from loomspan.llm.paragraphs import op8_line_dedup
+from loomspan.llm.paragraphs import op8_line_dedup, op8_line_dedup_whole
 from loomspan.llm.pii import op6_personal_data
 from loomspan.llm.quality import op5_likelihood_quality
 from loomspan.llm.secrets import op2_secret_ownership
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": op6_personal_data,
     "op7_cost_balanced_packing": op7_cost_balanced_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op8_line_dedup_whole": op8_line_dedup_whole,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }

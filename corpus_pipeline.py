@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = common.settle(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-gone")
+    gone = common.settle(near_duplicates(docs, n=5).where("not kept").select("doc_id").distinct(), "near-gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -16,8 +16,7 @@ occurrence of a gram with the run of windows that it owns; its context is the ru
 Spans are joined to the documents, whose other bytes stay.
 
 Defined results: a null text is empty; a text shorter than `length` loses nothing; a null id ranks after all others and
-stays null; rows with the same id are at the same place, so that none of them is earlier than another, and spans of one
-apply to all of them; an empty table gives an empty result; other columns are ignored.
+stays null; rows with the same id, or none, rank by their order in the table, and each has its own spans; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +40,6 @@ SLICE, BLOCK = 1 << 20, 1 << 20
 BLOCK_CONTEXTS = 4096
 #: Ids of texts to read again: up to so many (8 MB) are broadcast to the scan, more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-LAST = (1 << 63) - 1
 
 ANCHORS = "gram long, context long, doc long, place long"
 RUNS = "kind int, gram long, doc long, place long"
@@ -333,17 +331,26 @@ def _kept(length: int):
                     edges = [0, *(x for m in merged for x in m), len(raw)]
                     texts.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                     spans.append([{"start": a, "end": b} for a, b in merged])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(t.encode()) for t in rows.column(1).to_pylist()], pa.int64()), pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc", "n_bytes", "kept", "spans"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(t.encode()) for t in rows.column(1).to_pylist()], pa.int64()), pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_bytes", "kept", "spans"])
 
     return kept
 
 
+def _ranked(docs: DataFrame) -> DataFrame:
+    """docs as (doc, doc_id, text), with doc the place of a row among all: its id, or where ids are null or repeat, its number
+    by id and order in the table, in a settled table."""
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1):
+        return docs.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    ordered = docs.withColumn("row", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "row")
+    return common.settle(ordered.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "substring-docs")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_contexts: int = BLOCK_CONTEXTS) -> DataFrame:
     """(doc_id, n_bytes, kept, spans): the bytes that stay, and the maximal removed runs [start, end) in the input."""
-    docs = common.texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
-    of_doc = repeated_runs(docs, length, block_contexts).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    out = common.map_arrow(docs.join(of_doc, "doc", "left").select("doc", "text", "runs"), _kept(length), "doc long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
-    return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_bytes", "kept", "spans")
+    docs = _ranked(common.texts(docs, id_col, text_col))
+    of_doc = repeated_runs(docs.select("doc", "text"), length, block_contexts).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    out = common.map_arrow(docs.join(of_doc, "doc", "left").select("doc_id", "text", "runs"), _kept(length), "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    return out.select("doc_id", "n_bytes", "kept", "spans")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,8 +191,18 @@ def test_substrings_in_blocks_and_by_windows(spark, block_contexts):
 def test_lines_keep_offsets(spark):
     line = "one two three four five six seven eight"
     df = spark.createDataFrame([(2, f"first\n{line.upper()}.\nlast"), (1, line)], "doc_id long, text string")
-    got = {r["doc_id"]: (r["kept_text"], [tuple(s) for s in r["spans"]]) for r in paragraphs.remove_repeated_lines(df).collect()}
+    got = {r["doc_id"]: (r["kept_text"], [tuple(s) for s in r["spans"]]) for r in paragraphs.remove_repeated_lines(df, min_words=8).collect()}
     assert got == {1: (line, []), 2: ("first\nlast", [(6, 47)])}
+    assert all(r["spans"] == [] for r in paragraphs.remove_repeated_lines(df).collect())
+
+
+def test_passages_from_the_middle_of_lines(spark):
+    """A passage of short sentences goes from where it was copied to; its sentences stay where they stand alone."""
+    passage = " ".join(f"Sentence number {k} is short." for k in range(12))
+    rows = [(1, f"A first text. {passage} It ends here."), (2, f"Another one begins. {passage}\n\nAnd goes on."), (3, "Sentence number 4 is short. Nothing else of it."), (None, passage)]
+    got = {r["doc_id"]: (r["kept_text"], [tuple(s) for s in r["spans"]]) for r in paragraphs.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = len("Another one begins. ")
+    assert got == {1: (rows[0][1], []), 2: ("Another one begins. \nAnd goes on.", [(at, at + len(passage) + 1)]), 3: (rows[2][1], []), None: ("", [(0, len(passage))])}
 
 
 def test_pages(spark):

@@ -153,20 +153,38 @@ def test_packing(run, docs):
     assert len(sequences) <= sum(n for parts in sequences.values() for _, n in parts) / 4096 + 2
 
 
+def unit_spans(text):
+    """Places and keys of the units that have a word: lines, cut after a sentence's mark and the blank behind it."""
+    at = 0
+    for unit in re.split(r"(?<=\n)|(?<=[.!?…][\x20\x09])(?=\S)|(?<=[。！？])", text):
+        words = [re.sub(r"^[\W_]+|[\W_]+$", "", x) for x in WORD.findall(unit.lower())]
+        words = [w for w in words if w]
+        if words:
+            yield at, at + len(unit), " ".join(words), len(words)
+        at += len(unit)
+
+
 def test_lines(run, docs):
-    seen, got = set(), {r["doc_id"]: r for r in run("op8_line_dedup")}
+    seen, got, removed = set(), {r["doc_id"]: r for r in run("op8_line_dedup")}, 0
     for d in sorted(docs):
-        t, at, kept = docs[d], 0, []
-        for line in t.split("\n"):
-            end = min(at + len(line) + 1, len(t))
-            words = [re.sub(r"^[\W_]+|[\W_]+$", "", x) for x in WORD.findall(line.lower())]
-            key = " ".join(w for w in words if w)
-            long_ = key.count(" ") >= 7
-            if not (long_ and key in seen):
-                kept.append(t[at:end])
-            seen |= {key} if long_ else set()
-            at = end
-        assert got[d]["kept_sha256"] == digest("".join(kept))
+        t = docs[d]
+        gone, chain = set(), []
+
+        def close(chain):
+            if sum(n for _, _, n in chain) >= 25:
+                gone.update(p for a, b, _ in chain for p in range(a, b))
+
+        for a, b, key, n in unit_spans(t):
+            if key in seen:
+                chain.append((a, b, n))
+            else:
+                close(chain)
+                chain = []
+            seen.add(key)
+        close(chain)
+        removed += len(gone)
+        assert got[d]["kept_sha256"] == digest("".join(c for p, c in enumerate(t) if p not in gone)), d
+    assert removed > 0
 
 
 def test_decontamination(run, docs, sf):

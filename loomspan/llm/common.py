@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from loomspan.shipping import ship
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 2 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -23,8 +27,16 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Whole texts make batches of tens of megabytes by Spark's default; both sides of the pipe keep such buffers."""
+    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow, in batches of about BATCH_BYTES unless the session sets its own size."""
     ship(df.sparkSession)
+    _bound_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

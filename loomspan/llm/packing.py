@@ -12,6 +12,7 @@ each; an empty table gives no pieces; columns other than id and text are ignored
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,9 @@ END_ID = 2
 GROUP_SEQUENCES = 256
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n, as of a layer whose width is some thousands.
 LINEAR, QUADRATIC = 1.0, 1.0 / 8192
-#: Entries of a worker's memory of chunks; it starts afresh beyond that. It only saves time.
-MEMORY = 500_000
+#: Bytes of a worker's memory of chunks, in two generations; the older is dropped when the younger holds half. It only
+#: saves time. Besides the characters and ids, an entry takes about OVERHEAD bytes.
+MEMORY, OVERHEAD = 128 << 20, 200
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -43,24 +45,39 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a worker: its threads' buffers would stay
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         ends = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.is_end = np.array([bool(t) and t.endswith("</w>") for t in ends])
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """ids of unseen words, many in one call; a word's last id is the one whose token ends a word."""
-        batches = [words[i : i + 64] for i in range(0, len(words), 64)]
+        batches, out = [words[i : i + 64] for i in range(0, len(words), 64)], {}
         for batch, got in zip(batches, self.tokenizer.encode_batch_fast([" ".join(b) for b in batches], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, dtype="<u4")
             stops = np.flatnonzero(self.is_end[ids]) + 1
             if len(stops) != len(batch):
                 for w in batch:
-                    self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                    out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 continue
             for w, a, b in zip(batch, [0, *stops[:-1]], stops, strict=True):
-                self.words[w] = ids[a:b].tobytes()
+                out[w] = ids[a:b].tobytes()
+        return out
+
+    def _missing(self, chunks: set[str]) -> set[str]:
+        """Those that are in no generation; those in the older one move to the younger."""
+        missing = [c for c in chunks if c not in self.chunks]  # a difference of sets would walk all of the memory
+        for c in missing:
+            if c in self.older:
+                self._keep(c, self.older[c])
+        return {c for c in missing if c not in self.older}
+
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        self.chunks[chunk] = ids
+        self.held += len(chunk) + len(ids) + OVERHEAD
 
     def _split(self, chunk: str) -> list[str] | None:
         """A chunk as letters with a tail of marks, the common forms; None for all others."""
@@ -73,8 +90,8 @@ class Encoder:
         return None
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > MEMORY or len(self.words) > MEMORY:
-            self.chunks, self.words = {}, {}
+        if self.held > MEMORY // 2:
+            self.chunks, self.older, self.held = {}, self.chunks, 0
         split: list[list[str] | None] = []
         unseen: set[str] = set()
         for text in texts:
@@ -92,19 +109,16 @@ class Encoder:
             chunks = text.lower().split()
             split.append(chunks)
             unseen.update(chunks)
-        unseen -= self.chunks.keys()
-        parts = {c: self._split(c) for c in unseen}
-        words = {w for p in parts.values() if p for w in p}
-        self._learn(sorted(words - self.words.keys()))
-        odd = []
+        parts = {c: self._split(c) for c in self._missing(unseen)}
+        odd = [c for c, p in parts.items() if p is None]
+        for w, ids in self._learn(sorted(self._missing({w for p in parts.values() if p for w in p}))).items():
+            self._keep(w, ids)
         for c, p in parts.items():
-            if p:
-                self.chunks[c] = self.words[p[0]] if len(p) == 1 else self.words[p[0]] + self.words[p[1]]
-            else:
-                odd.append(c)
+            if p and len(p) == 2:
+                self._keep(c, self.chunks[p[0]] + self.chunks[p[1]])
         if odd:
             for c, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                self.chunks[c] = np.array(got.ids, dtype="<u4").tobytes()
+                self._keep(c, np.array(got.ids, dtype="<u4").tobytes())
         ids_of = self.chunks.__getitem__
         return [
             b"".join(map(ids_of, chunks)) if chunks is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -128,6 +128,25 @@ def test_personal_data(run, docs):
         assert r["base_sha256"] == digest(",".join(f"{k}:{a}:{b}" for k, v in spans.items() for a, b in v))
 
 
+def test_personal_data_in_other_formats(spark):
+    """Planted spans of no base format are found, other numbers are not; the surroundings are those of the tables."""
+    from loomspan.llm.pii import find_personal_data
+
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    right = "jane.doe (at) mail (dot) org|bob[at]host[dot]net|ann at example dot com|x.y (at) mail.example.com|(030) 123-4567|212-555-7788|(617) 555-0199|call 030 555 4567|0049 30 555-1234".split("|")
+    wrong = "2024-01-31|31.12.2023|1234567|1990-2004|978-3-16-148410-0|123 456 789|meet (at) noon|foo@bar|9807915762804490|3.14159265".split("|")
+    rows = [(10**9 + i, f"some words stand here, {x} follows them in this text") for i, x in enumerate(right * 5 + wrong * 5)]
+    got = {r["doc_id"]: r for r in find_personal_data(frame.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    base = [d for d, t in rows if got[d]["base"]]
+    found = [bool(got[d]["added"]) for d, _ in rows if d not in base]
+    n = len(right) * 5
+    assert not [d for d in base if d < 10**9 + n] and sum(found[:n]) >= 0.8 * n and sum(found[n:]) == 0
+    for d, t in rows[:n]:
+        for s in got[d]["added"]:
+            assert t[s["start"] : s["end"]].strip("( ") in t and s["kind"] in ("contact", "number")
+    assert sum(bool(r["added"]) for d, r in got.items() if d < 10**9) <= 0.01 * len(got)
+
+
 def test_packing(run, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

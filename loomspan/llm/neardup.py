@@ -9,8 +9,9 @@ band with probability 1.5e-5, less for more similar ones.
 Texts with one set are one class, and only its least id goes on. Sets of up to three runs can't reach 4/5 unless equal,
 so they are not banded. In each band bucket the members are paired with its least id, the hub; each class is first tested
 against the hub that it meets most often. Classes that resemble a hub then form clusters. A cluster that is not one
-component by now is compared as a whole: its sets are dealt to blocks, every two blocks meet in one task, and only links
-that join two components leave it, so that a large family of copies costs no row per pair. Classes of different clusters
+component by now is compared as a whole: the sets of its largest component and all others are dealt to blocks, every block
+of others meets all blocks in one task each, and only links that join two components leave it. A family whose copies all
+link to their hub costs nothing more; one with m texts outside of its largest component of n costs (n + m) * m / BLOCK rows. Classes of different clusters
 that share a bucket by chance are tested one by one. Every accepted pair has been compared by its full sets.
 
 Defined results: empty or null texts and texts of white space have an empty set and are linked with nothing; rows with a
@@ -39,7 +40,9 @@ CHANCE = 0.169919487159739
 #: An estimate that is lower than the threshold by this is five standard deviations off.
 MARGIN = 0.17
 #: An estimate from which on a class belongs to its hub's cluster, and classes in a block of a cluster.
-ALIKE, BLOCK = 0.4, 512
+ALIKE, BLOCK = 0.4, 1024
+#: A class that holds over a HEAVY-th of all documents is joined to its members by broadcast.
+HEAVY = 10_000
 #: Ids of texts to compare: up to so many (8 MB) are broadcast to the scan, more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -118,7 +121,7 @@ def _proof(n: int, percent: int):
     return proof
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of every two sets, by products of 0/1 matrices over `width` values at a time."""
     values, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
     sizes = np.array([len(x) for x in (*left, *right)])
@@ -184,14 +187,22 @@ def _proved(pairs: DataFrame, docs: DataFrame, n: int, percent: int, label: str)
 
 
 def _in_clusters(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """members: (cluster, rep, part). Edges (u, v) between components of one cluster, from comparing all its sets."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = members.join(sizes, "cluster").select("cluster", "rep", "part", blocks.alias("blocks"))
-    open_ = common.settle(open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "near-clusters")
+    """members: (cluster, rep, part). Edges (u, v) between components of one cluster. Members of a cluster's largest
+    component are dealt to blocks numbered from 0 down, all others from 1 up; every other block meets all blocks, so that
+    the large component is never compared with itself and is read once for each BLOCK of the others."""
+    parts = members.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("cluster").agg(F.max(F.struct("n", (-F.col("part")).alias("p"))).alias("m"), F.sum("n").alias("all"))
+    largest = largest.select("cluster", (-F.col("m.p")).alias("main"), F.col("m.n").alias("inside"), (F.col("all") - F.col("m.n")).alias("others")).where("others > 0")
+    blocks = F.ceil(F.when(F.col("part") == F.col("main"), F.col("inside")).otherwise(F.col("others")) / BLOCK).cast("int")
+    open_ = members.join(largest, "cluster").select("cluster", "rep", "part", (F.col("part") == F.col("main")).alias("in_main"), blocks.alias("own"), F.ceil(F.col("others") / BLOCK).cast("int").alias("rest"))
+    dealt = F.pmod(F.xxhash64("rep"), F.col("own")).cast("int")
+    open_ = common.settle(open_.withColumn("block", F.when(F.col("in_main"), -dealt).otherwise(dealt + 1)), "near-clusters")
     texts = _texts(open_.select(F.col("rep").alias("doc_id")), docs, "near-clusters")
     sets = common.map_arrow(texts.select("doc_id", "text"), _sets(n), "rep long, prints binary")
-    met = open_.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    main_blocks = open_.where("in_main").groupBy("cluster").agg(F.max("own").alias("mains"))
+    # a block of others meets every block: those of the largest component, and the others' own
+    other = F.when(F.col("in_main"), F.sequence(F.lit(1), F.col("rest"))).otherwise(F.sequence(1 - F.col("mains"), F.col("rest")))
+    met = open_.join(main_blocks, "cluster").join(sets, "rep").withColumn("other", F.explode(other))
     met = met.select("cluster", "rep", "part", "prints", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     return common.settle(met.groupBy("cluster", "lo", "hi").applyInPandas(_block_links(percent), "u long, v long"), "near-cluster-links")
 
@@ -202,8 +213,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = common.settle(common.map_arrow(docs, _sketcher(n), SKETCH), "near-sketch")
     keys = ["n_shingles", "set_a", "set_b"]
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
-    member = common.settle(linkable.select("doc_id", *keys, "registers").join(classes, keys), "near-member")
+    classes = common.settle(linkable.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("of")), "near-classes")
+    most = sketch.count() // HEAVY
+    heavy = F.broadcast(classes.where(F.col("of") > most).drop("of"))  # under HEAVY rows by count; a class of many copies needs no shuffle
+    light = classes.where(F.col("of") <= most).drop("of")
+    rows = linkable.select("doc_id", *keys, "registers")
+    member = common.settle(rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys)), "near-member")
     reps = common.settle(member.where("doc_id = rep").select("rep", "n_shingles", "registers").dropDuplicates(["rep", "n_shingles", "registers"]), "near-reps")
     member = member.select("doc_id", "rep")
     first_of = member.groupBy("doc_id").agg(F.min("rep").alias("first"))

@@ -27,3 +27,14 @@ def test_stage_takes_five_words(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
     assert got == {d for d, u in enumerate(up) if d == u}
+
+
+def test_stage_on_odd_rows(spark):
+    """Of equal rows one stays, also under one id or none; texts without words, and other columns, are left alone."""
+    text = " ".join(BASE)
+    rows = [(1, text, "a"), (1, text, "a"), (None, text, "b"), (None, "a text of its own, told once and nowhere else", "c"), (2, None, "d"), (2, "", "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = corpus_pipeline.near_dedup(spark, frame, "")
+    assert got.columns == frame.columns
+    assert sorted(r["row"] for r in got.collect()) == ["a", "c", "d", "e"]
+    assert corpus_pipeline.near_dedup(spark, frame.where("false"), "").collect() == []

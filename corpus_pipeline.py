@@ -26,8 +26,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that with the least id. Where ids are null or repeat, rows stand for themselves:
+    of equal rows one stays, whatever their ids. Texts without words are in no group."""
+    named = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1)
+    names = docs.columns
+    if not named:
+        docs = common.settle(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.struct(*(F.col(c) for c in names)).alias("d")), "near-rows")
     gone = common.settle(near_duplicates(docs, n=5).where("not kept").select("doc_id").distinct(), "near-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    return kept.select(*names) if named else kept.select(*(F.col(f"d.{c}").alias(c) for c in names))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ GROUP_SEQUENCES = 256
 LINEAR, QUADRATIC = 1.0, 1.0 / 8192
 #: Bytes of a worker's memory of chunks, in two generations; the older is dropped when the younger holds half. It only
 #: saves time. Besides the characters and ids, an entry takes about OVERHEAD bytes.
-MEMORY, OVERHEAD = 128 << 20, 200
+MEMORY, OVERHEAD = 96 << 20, 200
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -172,7 +172,7 @@ def _packer(path: str, size: int, end_id: int, group_sequences: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoder(path)
+        encoder = Encoder(path)  # goes with the partition: the worker may run other operators next
         part = TaskContext.get().partitionId() << 32
         end = np.array([end_id], dtype="<u4").tobytes()
         names = [x.split()[0] for x in PIECES.split(", ")]
@@ -212,15 +212,6 @@ def _packer(path: str, size: int, end_id: int, group_sequences: int):
     return pack
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,

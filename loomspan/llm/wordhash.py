@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at a time; a longer text is cut at white space.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _rng.integers(1, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)

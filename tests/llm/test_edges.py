@@ -214,6 +214,47 @@ def test_pages(spark):
     assert extraction.extract(df.where("false")).collect() == []
 
 
+def pages_of(spark, bodies):
+    return spark.createDataFrame([(i, f"http://host/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+
+
+def texts_of(df):
+    return [r["text"] for r in sorted(extraction.extract(df).collect(), key=lambda r: r["page_id"])]
+
+
+WORDS = "alder birch cedar dogwood elm fir ginkgo hazel ilex juniper".split()
+
+
+def told(i, n=12):
+    return " ".join(WORDS[(i * 7 + k * k) % 10] + str(i) for k in range(n))
+
+
+def test_template_of_a_host_without_roles(spark):
+    """Plain divs: only the host's template tells the text from page-specific lines and repeated notices."""
+    body = "<div class='q1'><a href=x>Home {k}</a> <a href=y>News</a></div><div class='q2'>By author {i} on day {i}</div><div class='q3'><p>{a}</p><p>Read this notice first.</p><p>{b}</p></div><div class='q4'><p>user{i} says hello</p></div>"
+    bodies = [body.format(i=i, k=i % 2, a=told(i), b=told(i + 50)) for i in range(10)]
+    df = pages_of(spark, bodies)
+    assert texts_of(df) == [f"{told(i)} {told(i + 50)}" for i in range(10)]
+    alone = [extraction.main_text(f"<html><body>{b}</body></html>", frozenset(), frozenset(), frozenset(), {}) for b in bodies]
+    assert all("notice" in a for a in alone)  # without the template the results differ
+
+
+def test_contract_of_pages(spark):
+    """Wrappers that mention a sidebar, sections named related-work, captions, formulas and titles in an article's header stay."""
+    bodies = [
+        "<div class='content with-sidebar'><p>Body text of the page</p></div>",
+        "<article><header><h1>Title</h1><p>by someone</p></header><p>One two three</p><div class='related-work'><p>Earlier work</p></div><figure><img><figcaption>A caption</figcaption></figure><math><mi>x</mi></math></article><aside>Other</aside>",
+        "<nav>Menu</nav><main><p>Plain main text</p><div class='comments'><p>me too</p></div></main><footer>End</footer>",
+    ]
+    got = [texts_of(pages_of(spark, [b]))[0] for b in bodies]
+    assert got == ["Body text of the page", "Title One two three Earlier work A caption x", "Plain main text"]
+
+
+def test_long_page(spark):
+    text = "word " * 60_000
+    assert texts_of(pages_of(spark, [f"<article><p>{text}</p></article>"])) == [text.strip()]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -72,7 +72,7 @@ both("universe_move_topk", "SELECT trade_date, n, change FROM (SELECT trade_date
 both("industry_min_members", "SELECT trade_date, min(n) AS fewest FROM (SELECT trade_date, industry, count(*) AS n FROM prt GROUP BY trade_date, industry) x GROUP BY trade_date")
 both("inventory_counts", "SELECT CAST(sum(CASE WHEN px < 20 THEN 1 ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN volume < 2 THEN 1 ELSE 0 END) AS BIGINT) AS thin, count(*) AS n FROM ev")
 both("nested_scalar_subqueries", "SELECT (SELECT count(*) FROM orders) AS n_orders, (SELECT count(*) FROM customer) AS n_customers, (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) AS last_order")
-both("histogram_density", "SELECT bin, count(*) AS n, round(count(*) / (max(total) * 50.0), 8) AS density FROM (SELECT least(CAST(floor(value / 50.0) AS BIGINT), 9) AS bin, count(*) OVER () AS total FROM events) x GROUP BY bin", "SELECT bin, count(*) AS n, CAST(round(count(*) / (max(total) * 50.0::DOUBLE), 8) AS DOUBLE) AS density FROM (SELECT least(CAST(floor(value / 50.0) AS BIGINT), 9) AS bin, count(*) OVER () AS total FROM events) x GROUP BY bin")
+both("histogram_density", "SELECT bin, n, round(n / (total * CAST(50 AS DOUBLE)), 8) AS density FROM (SELECT least(CAST(floor(value / 50.0) AS BIGINT), 9) AS bin, count(*) AS n FROM events GROUP BY least(CAST(floor(value / 50.0) AS BIGINT), 9)) x CROSS JOIN (SELECT count(*) AS total FROM events) t", "SELECT bin, count(*) AS n, CAST(round(count(*) / (max(total) * 50.0::DOUBLE), 8) AS DOUBLE) AS density FROM (SELECT least(CAST(floor(value / 50.0) AS BIGINT), 9) AS bin, count(*) OVER () AS total FROM events) x GROUP BY bin")
 both("effective_sample_size", "SELECT trade_date, round(sum(cap) * sum(cap) / nullif(sum(cap * cap), 0), 4) AS ess, round(max(cap) / nullif(PCT(cap; 0.5), 0), 4) AS max_to_median FROM sup GROUP BY trade_date")
 both("simple_ols_with_se", "SELECT board, round(b, 6) AS slope, round(a, 4) AS intercept, round(sqrt(greatest(syy - b * sxy, 0) / nullif(n - 2, 0) / nullif(sxx, 0)), 6) AS se FROM (SELECT board, count(*) AS n, regr_slope(cap, vol) AS b, regr_intercept(cap, vol) AS a, regr_sxx(cap, vol) AS sxx, regr_syy(cap, vol) AS syy, regr_sxy(cap, vol) AS sxy FROM sup GROUP BY board) x")
 both("downweight_by_group", "SELECT board, round(avg(CASE WHEN abs(ret) > 0.5 THEN 1e0 ELSE 0e0 END), 6) AS rate, round(avg(abs(ret)), 6) AS mean_abs FROM supr WHERE ret IS NOT NULL GROUP BY board", "SELECT board, round(avg(CASE WHEN abs(ret) > 0.5 THEN 1 ELSE 0 END), 6) AS rate, round(avg(abs(ret)), 6) AS mean_abs FROM supr WHERE ret IS NOT NULL GROUP BY board")

@@ -51,7 +51,11 @@ both("replay_summary", f"SELECT count(*) AS n, round(avg(ic), 6) AS mean, round(
 both("monte_carlo_p_value", f"SELECT (1 + count_if(abs(ic) >= obs)) / CAST(count(*) + 1 AS DOUBLE) AS p FROM (SELECT ic, max(CASE WHEN k = 40 THEN abs(ic) END) OVER () AS obs FROM ({_IC}) x) y")
 _Z = 1.959963984540054
 both("wilson_interval", f"SELECT round((p + {_Z * _Z} / (2 * n)) / d - h, 6) AS lo, round((p + {_Z * _Z} / (2 * n)) / d + h, 6) AS hi FROM (SELECT p, n, 1 + {_Z * _Z} / n AS d, {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n)) / (1 + {_Z * _Z} / n) AS h FROM (SELECT avg(CAST(CASE WHEN ic > 0 THEN 1 ELSE 0 END AS DOUBLE)) AS p, CAST(count(*) AS DOUBLE) AS n FROM ({_IC}) a) x) y")
-both("pit_canary", "SELECT round(covar_pop(nx, y1) / nullif(sqrt(var_pop(nx) * var_pop(y1)), 0), 6) AS ic1, abs(covar_pop(nx, y5) / nullif(sqrt(var_pop(nx) * var_pop(y5)), 0)) < 0.2 AS ic5_small FROM (SELECT lead(ret, 1) OVER w AS nx, lead(ret, 1) OVER w AS y1, lead(ret, 5) OVER w AS y5 FROM supr WINDOW w AS (PARTITION BY asset_id ORDER BY trade_date)) x WHERE nx IS NOT NULL AND y5 IS NOT NULL")
+# A canary knows the next return but for noise from a hash; a placebo is that noise alone. Leaks show as a canary that the
+# next return does not explain, or a placebo that it does.
+_NOISE = "CAST(({h} % 2001) - 1000 AS DOUBLE) / 1000"
+_CANARY = "SELECT trade_date, covar_pop(y + 0.5 * sd * z, y) / nullif(sqrt(var_pop(y + 0.5 * sd * z) * var_pop(y)), 0) AS canary, covar_pop(z, y) / nullif(sqrt(var_pop(z) * var_pop(y)), 0) AS placebo FROM (SELECT trade_date, y, z, stddev_pop(y) OVER (PARTITION BY trade_date) AS sd FROM (SELECT trade_date, lead(ret) OVER (PARTITION BY asset_id ORDER BY trade_date) AS y, " + _NOISE.format(h="((asset_id * 7919 + k * 104729) * 31337 + asset_id * k * 613)") + " AS z FROM supr) a WHERE y IS NOT NULL) b GROUP BY trade_date HAVING count(*) >= 5"
+both("pit_canary", f"SELECT count(*) AS dates, round(avg(canary), 6) AS canary_ic, round(avg(placebo), 6) AS placebo_ic, avg(canary) > 0.5 AND abs(avg(placebo)) < 4 * stddev_samp(placebo) / sqrt(count(placebo)) AS ok FROM ({_CANARY}) c")
 
 
 @query("fama_macbeth")
@@ -118,13 +122,19 @@ both("ewma_factor_covariance", f"WITH f AS (SELECT x.board, x.k, x.f, pow(5e-1,
 both("sigma_ratio_summary", "SELECT board, round(PCT(r; 0.5), 5) AS med, round(avg(least(r, 5)), 5) AS mean FROM (SELECT board, abs(ret) / nullif(avg(abs(ret)) OVER (PARTITION BY asset_id), 0) AS r FROM supr WHERE ret IS NOT NULL) x GROUP BY board")
 both("bias_test", "SELECT board, round(stddev_samp(z), 5) AS bias, stddev_samp(z) BETWEEN 0.5 AND 1.5 AS ok FROM (SELECT board, ret / nullif(stddev_samp(ret) OVER (PARTITION BY asset_id ORDER BY trade_date ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), 0) AS z, count(ret) OVER (PARTITION BY asset_id ORDER BY trade_date ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS n FROM supr) x WHERE n >= 12 GROUP BY board")
 both("freeze_decision", "SELECT board, CASE WHEN n < 50 THEN 'defer' WHEN s > 2 THEN 'reject' ELSE 'freeze' END AS decision FROM (SELECT board, count(ret) AS n, stddev_samp(ret) AS s FROM supr GROUP BY board) x")
-both("portfolio_variance", f"WITH f AS ({_FACTOR}), c AS (SELECT a.board AS i, b.board AS j, covar_pop(a.f, b.f) AS cov FROM f a JOIN f b ON b.k = a.k GROUP BY a.board, b.board), x AS (SELECT board, sum(cap) / max(total) AS e FROM (SELECT board, cap, sum(cap) OVER () AS total FROM sup WHERE trade_date = DATE '2000-01-01') p GROUP BY board) SELECT round(sum(a.e * b.e * c.cov), 7) AS factor_variance FROM c JOIN x a ON a.board = c.i JOIN x b ON b.board = c.j")
+both("portfolio_variance", f"WITH f AS ({_FACTOR}), c AS (SELECT a.board AS i, b.board AS j, covar_pop(a.f, b.f) AS cov FROM f a JOIN f b ON b.k = a.k GROUP BY a.board, b.board), s0 AS (SELECT board, sum(cap) AS c FROM sup WHERE trade_date = DATE '2000-01-01' GROUP BY board), x AS (SELECT board, c / (SELECT sum(c) FROM s0) AS e FROM s0) SELECT round(sum(a.e * b.e * c.cov), 7) AS factor_variance FROM c JOIN x a ON a.board = c.i JOIN x b ON b.board = c.j")
 both("asset_total_variance", "SELECT s.asset_id, round(f.v + d.v, 6) AS total FROM (SELECT DISTINCT asset_id, board FROM sup) s JOIN (SELECT board, var_pop(m) AS v FROM (SELECT board, trade_date, avg(ret) AS m FROM supr WHERE ret IS NOT NULL GROUP BY board, trade_date) x GROUP BY board) f ON f.board = s.board JOIN (SELECT asset_id, var_pop(ret) AS v FROM supr GROUP BY asset_id) d ON d.asset_id = s.asset_id")
 both("portfolio_pair", "SELECT trade_date, CASE WHEN count(*) = count(ret) THEN round(avg(ret), 6) END AS equal_weight FROM supr GROUP BY trade_date")
 both("standardized_summary", "SELECT round(stddev_samp(z), 5) AS sd, round(avg(z), 5) AS mean, round(sqrt(avg(z * z)), 5) AS rms, round(avg(CAST(CASE WHEN abs(z) > 2 THEN 1 ELSE 0 END AS DOUBLE)), 6) AS tail FROM (SELECT (ret - avg(ret) OVER (PARTITION BY asset_id)) / nullif(stddev_samp(ret) OVER (PARTITION BY asset_id), 0) AS z FROM supr WHERE ret IS NOT NULL) x")
 both("rolling_250_calibration", "SELECT asset_id, trade_date, CASE WHEN count(ret) OVER w = 24 THEN round(stddev_samp(ret) OVER w, 5) END AS s FROM supr WINDOW w AS (PARTITION BY asset_id ORDER BY trade_date ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)")
 both("admission_criteria", "SELECT bool_and(s < 100) AS all_pass, bool_or(s > 1000) AS hard_stop FROM (SELECT asset_id, stddev_samp(ret) AS s FROM supr GROUP BY asset_id HAVING count(ret) > 3) x")
-both("residual_moment_identity", "SELECT trade_date, abs(pow(sum(z), 2) - (sum(z * z) + (pow(sum(z), 2) - sum(z * z)))) < 1e-6 AS ok, round(sum(z * z), 5) AS diagonal FROM (SELECT trade_date, ret - avg(ret) OVER (PARTITION BY trade_date) AS z FROM supr WHERE ret IS NOT NULL) x GROUP BY trade_date")
+# Products of every two assets' residuals, summed as pairs on one side and through moments on the other.
+_RESID = "SELECT trade_date, asset_id, ret - avg(ret) OVER (PARTITION BY trade_date) AS z FROM supr WHERE ret IS NOT NULL"
+both(
+    "residual_moment_identity",
+    f"SELECT trade_date, round(sum(z * z), 5) AS diagonal, round((sum(z) * sum(z) - sum(z * z)) / 2, 4) AS pairs FROM ({_RESID}) x GROUP BY trade_date",
+    f"SELECT d.trade_date, round(d.dd, 5) AS diagonal, round(coalesce(p.pp, 0), 4) AS pairs FROM (SELECT trade_date, sum(z * z) AS dd FROM ({_RESID}) x GROUP BY trade_date) d LEFT JOIN (SELECT a.trade_date, sum(a.z * b.z) AS pp FROM ({_RESID}) a JOIN ({_RESID}) b ON b.trade_date = a.trade_date AND a.asset_id < b.asset_id GROUP BY a.trade_date) p ON p.trade_date = d.trade_date",
+)
 both("metric_statistics", "SELECT trade_date, round(sum(cap * disc) / sum(cap), 6) AS wmean, round(stddev_samp(disc), 6) AS sd FROM sup GROUP BY trade_date")
 both("target_admission", "SELECT asset_id, concat_ws(',', CASE WHEN e > 0.02 THEN 'exposure' END, CASE WHEN s > 3 THEN 'variance' END) AS reasons FROM (SELECT asset_id, max(share) AS e, stddev_samp(ret) AS s FROM (SELECT asset_id, ret, cap / sum(cap) OVER (PARTITION BY trade_date) AS share FROM supr) x GROUP BY asset_id) y")
 both("industry_interval_availability", "SELECT asset_id, from_d, greatest(from_d, coalesce(lead(from_d) OVER (PARTITION BY asset_id ORDER BY from_d, o_orderkey), from_d)) AS available FROM member")

@@ -55,7 +55,6 @@ both("g0_history_report", "SELECT board, count(*) AS n, count(DISTINCT trade_dat
 both("report_diff", "SELECT coalesce(a.board, b.board) AS board, a.n AS before_n, b.n AS after_n, a.n IS DISTINCT FROM b.n AS changed FROM (SELECT board, count(*) AS n FROM sup WHERE trade_date < DATE '1998-01-01' GROUP BY board) a FULL OUTER JOIN (SELECT board, count(*) AS n FROM sup WHERE trade_date >= DATE '1998-01-01' GROUP BY board) b ON b.board = a.board")
 both("new_listing_window", f"SELECT age, count(s) AS n, round(PCT(s; 0.5), 5) AS med_vol FROM (SELECT row_number() OVER ({_A}) AS age, stddev_samp(ret) OVER ({_A} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s FROM supr) x WHERE age <= 24 GROUP BY age")
 both("external_fact_lookup", "SELECT o_orderkey, f.rate FROM ord JOIN (SELECT DATE '1900-01-01' AS a, DATE '1997-06-30' AS b, 0.001 AS rate UNION ALL SELECT DATE '1997-07-01', DATE '2100-01-01', 0.0005) f ON d BETWEEN f.a AND f.b", "SELECT o_orderkey, f.rate FROM ord JOIN (SELECT DATE '1900-01-01' AS a, DATE '1997-06-30' AS b, CAST(0.001 AS DECIMAL(4,4)) AS rate UNION ALL SELECT DATE '1997-07-01', DATE '2100-01-01', CAST(0.0005 AS DECIMAL(4,4))) f ON d BETWEEN f.a AND f.b")
-both("bse_transfer_batch", "SELECT s_suppkey, n FROM supplier JOIN (SELECT asset_id, count(*) AS n FROM (SELECT asset_id, trade_date FROM sup WHERE vol > 20 UNION SELECT asset_id, trade_date FROM sup WHERE cap > 40000) u GROUP BY asset_id) o ON o.asset_id = s_suppkey WHERE s_suppkey % 5 = 0")
 both("legacy_base_validation", f"SELECT count(*) AS n, count_if(abs(ret - r2) > 1e-9) AS mismatched FROM (SELECT ret, px / nullif(lag(px) OVER ({_A}), 0) - 1 AS r2 FROM supr) x WHERE ret IS NOT NULL")
 both("market_catchup_coverage", "SELECT c.trade_date, count(e.asset_id) AS n FROM cal c LEFT JOIN ev e ON e.trade_date = c.trade_date GROUP BY c.trade_date")
 both("calendar_completeness", "SELECT d FROM (SELECT explode(sequence(min(d), max(d), INTERVAL 1 DAY)) AS d FROM ord) g WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT d AS x FROM ord) o WHERE o.x = g.d)", "SELECT CAST(d AS DATE) AS d FROM (SELECT unnest(generate_series((SELECT min(d) FROM ord), (SELECT max(d) FROM ord), INTERVAL 1 DAY)) AS d) g WHERE NOT EXISTS (SELECT 1 FROM ord o WHERE o.d = CAST(g.d AS DATE))")
@@ -67,9 +66,8 @@ both("research_attempt_ledger", "SELECT event_type, count(*) AS attempts, count(
 both("predictivity_runner", "SELECT board, trade_date, count(*) AS n, round(covar_pop(cap, ret) / nullif(sqrt(var_pop(cap) * var_pop(ret)), 0), 6) AS ic FROM supr WHERE ret IS NOT NULL GROUP BY board, trade_date HAVING count(*) >= 5")
 
 
-@query("bse_transfer_batch_whole", "SELECT s_suppkey, n FROM supplier JOIN (SELECT asset_id, count(*) AS n FROM (SELECT asset_id, trade_date FROM sup WHERE vol > 20 UNION SELECT asset_id, trade_date FROM sup WHERE cap > 40000) u GROUP BY asset_id) o ON o.asset_id = s_suppkey")
-def bse_transfer_batch_whole(spark, sf_dir):
-    """All suppliers, where bse_transfer_batch takes every fifth."""
+@query("bse_transfer_batch", "SELECT s_suppkey, n FROM supplier JOIN (SELECT asset_id, count(*) AS n FROM (SELECT asset_id, trade_date FROM sup WHERE vol > 20 UNION SELECT asset_id, trade_date FROM sup WHERE cap > 40000) u GROUP BY asset_id) o ON o.asset_id = s_suppkey")
+def bse_transfer_batch(spark, sf_dir):
     panel = view(spark, sf_dir, "sup")
     seen = panel.where("vol > 20").select("asset_id", "trade_date").union(panel.where("cap > 40000").select("asset_id", "trade_date")).distinct()
     n = seen.groupBy(F.col("asset_id").alias("s_suppkey")).agg(F.count("*").alias("n"))

@@ -104,7 +104,6 @@ def anti_join_coverage(spark, sf_dir):
     return table(spark, sf_dir, "part").join(sold, "p_partkey", "left_anti").select("p_partkey")
 
 
-both("not_exists_subquery", "SELECT c.trade_date, s_suppkey FROM mon c CROSS JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 10) s WHERE NOT EXISTS (SELECT 1 FROM sup p WHERE p.asset_id = s.s_suppkey AND p.trade_date = c.trade_date)")
 both("exists_correlated_subquery", "SELECT asset_id, trade_date FROM (SELECT asset_id, trade_date, ret, max(trade_date) OVER (PARTITION BY asset_id ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM evr) x WHERE ret IS NULL AND earlier IS NOT NULL", "SELECT asset_id, trade_date FROM evr r WHERE ret IS NULL AND EXISTS (SELECT 1 FROM ev q WHERE q.asset_id = r.asset_id AND q.trade_date < r.trade_date)")
 both("semi_join_filter", "SELECT o_orderkey, o_custkey FROM orders LEFT SEMI JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING'", "SELECT o_orderkey, o_custkey FROM orders SEMI JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING'")
 
@@ -154,7 +153,6 @@ query("interval_join_half_open", _INTERVAL.format(op=">"))(_interval(False))
 query("interval_join_as_of_industry", _INTERVAL.format(op=">="))(_interval(True))
 both("interval_join_closed_dedup", "SELECT left_key, right_key FROM (SELECT e.o_orderkey AS left_key, m.o_orderkey AS right_key, row_number() OVER (PARTITION BY e.o_orderkey ORDER BY m.from_d DESC, m.o_orderkey DESC) AS rn FROM ord e JOIN member m ON m.asset_id = e.asset_id AND m.from_d <= e.d AND (m.to_d IS NULL OR m.to_d >= e.d)) x WHERE rn = 1")
 both("board_as_of", "SELECT asset_id, label FROM (SELECT asset_id, label, row_number() OVER (PARTITION BY asset_id ORDER BY from_d DESC, o_orderkey DESC) AS rn FROM member WHERE from_d <= DATE '1999-06-30' AND (to_d IS NULL OR to_d > DATE '1999-06-30')) x WHERE rn = 1")
-both("calendar_range_join", "SELECT o_orderkey, min(m.k) AS open_rank FROM ord JOIN mon m ON m.trade_date >= d WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey")
 both("calendar_grid_interval_join", "SELECT s.asset_id, m.trade_date FROM (SELECT asset_id, min(trade_date) AS f, max(trade_date) AS t FROM sup GROUP BY asset_id) s JOIN mon m ON m.trade_date BETWEEN s.f AND s.t")
 both("cross_join_grid", "SELECT s.s_suppkey, c.trade_date, round(p.cap, 2) AS cap FROM supplier s CROSS JOIN mon c LEFT JOIN sup p ON p.asset_id = s.s_suppkey AND p.trade_date = c.trade_date")
 both("scalar_bounds_cross_join", "SELECT c.trade_date FROM cal c CROSS JOIN (SELECT min(trade_date) AS lo, max(trade_date) AS hi FROM evr WHERE ret IS NOT NULL) b WHERE c.trade_date BETWEEN b.lo AND b.hi")
@@ -208,9 +206,8 @@ def suspension_semi_union(spark, sf_dir):
     return run_sql(spark, sf_dir, "SELECT DISTINCT asset_id FROM ev WHERE volume > 4 OR px > 150")
 
 
-# The named queries above take a part of the ids in their SQL; these take all of them.
-@query("calendar_range_join_whole", "SELECT o_orderkey, min(m.k) AS open_rank FROM ord JOIN mon m ON m.trade_date >= d GROUP BY o_orderkey")
-def calendar_range_join_whole(spark, sf_dir):
+@query("calendar_range_join", "SELECT o_orderkey, min(m.k) AS open_rank FROM ord JOIN mon m ON m.trade_date >= d GROUP BY o_orderkey")
+def calendar_range_join(spark, sf_dir):
     """The forward as-of as an equal join: each open date stands for the days after the one before it."""
     orders, opened = view(spark, sf_dir, "ord"), view(spark, sf_dir, "mon")
     first = orders.agg(F.min("d").alias("first"))
@@ -221,8 +218,8 @@ def calendar_range_join_whole(spark, sf_dir):
     return orders.join(F.broadcast(days), "d").groupBy("o_orderkey").agg(F.min("open_rank").alias("open_rank"))
 
 
-@query("not_exists_subquery_whole", "SELECT c.trade_date, s_suppkey FROM mon c CROSS JOIN supplier s WHERE NOT EXISTS (SELECT 1 FROM sup p WHERE p.asset_id = s.s_suppkey AND p.trade_date = c.trade_date)")
-def not_exists_subquery_whole(spark, sf_dir):
+@query("not_exists_subquery", "SELECT c.trade_date, s_suppkey FROM mon c CROSS JOIN supplier s WHERE NOT EXISTS (SELECT 1 FROM sup p WHERE p.asset_id = s.s_suppkey AND p.trade_date = c.trade_date)")
+def not_exists_subquery(spark, sf_dir):
     grid = table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(view(spark, sf_dir, "mon").select("trade_date")))
     priced = view(spark, sf_dir, "sup").select("trade_date", F.col("asset_id").alias("s_suppkey"))
     return grid.join(priced, ["trade_date", "s_suppkey"], "left_anti").select("trade_date", "s_suppkey")

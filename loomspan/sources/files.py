@@ -54,6 +54,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name where all machines of the cluster can read; local only where spark.checkpoint.dir is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/loomspan/{label}-{uuid.uuid4().hex}"

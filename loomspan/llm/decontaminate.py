@@ -13,7 +13,8 @@ contamination; of an item's occurrences in a document the best verdict stands.
 Only built-in functions. The item windows are broadcast up to a checked size and joined by a shuffle beyond; matches are
 gathered by document, item and diagonal after that join, so that no document's windows are ever shuffled in the first case.
 
-Defined results: null texts are empty; items of under five tokens carry no window and match nothing; of items with the same
+Defined results: null texts are empty; items of under five tokens carry no window and match nothing, as one to four words
+by themselves stand in any text and would throw out clean documents; of items with the same
 id the best matched text counts; null ids of documents stay null, repeated rows are matched one by one; empty tables give an empty
 result; other columns are ignored, or kept by `decontaminate`.
 """
@@ -124,15 +125,19 @@ def _occurrences(tokens_: DataFrame, lines: DataFrame, sizes: DataFrame, percent
     return ranked.groupBy("row", "item_id").agg(F.min(F.struct("rank", (-F.col("n_matched")).alias("less"), "n_windows")).alias("b")).select("row", "item_id", "b.n_windows", (-F.col("b.less")).alias("n_matched"), "b.rank")
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, numbered: bool = False) -> DataFrame:
     """(row, doc_id, item_id, n_windows, n_matched, verdict) of each document and item that share enough windows. row
-    numbers the rows of docs, which are read twice: docs must give the same rows in the same order, as stored files do."""
+    numbers the rows of docs, in a settled table, as they are read twice; with numbered, the ids are such numbers already."""
     bank = _bank(items, F.coalesce(F.col("text"), F.lit("")))
     keyed = lambda c: bank.select("part", F.posexplode(c).alias("i", "key"))
     keys = common.settle(keyed("windows").union(keyed("plain")).distinct(), "benchmark-windows")
     asked = bank.select("part", F.posexplode(F.arrays_zip(F.col("template").alias("t"), F.col("words").alias("w"))).alias("t", "x")).select("part", "t", F.col("x.t").between(1, 3).alias("slot"), F.col("x.w").alias("asked"))
     sizes = bank.select("part", "item_id", F.size("words").cast("long").alias("n_tokens"), F.size("windows").cast("long").alias("n_windows"), F.size(F.filter("template", lambda t: ~t.between(1, 3))).alias("n_words"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    text = F.coalesce(text_col, F.lit("")).alias("text")
+    if numbered:
+        rows = docs.select(F.col(id_col).alias("row"), F.col(id_col).alias("doc_id"), text)
+    else:
+        rows = common.settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text), "benchmark-rows")
     each = _templated(rows).select("row", "doc_id", F.posexplode_outer("windows").alias("j", "key"))
     few = keys.count() <= BROADCAST_WINDOWS
     hits = each.join(F.broadcast(keys) if few else keys, "key").groupBy("row", "doc_id", "part", (F.col("j") - F.col("i")).alias("d")).agg(F.sort_array(F.collect_set("i")).alias("at"))
@@ -154,7 +159,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that hold no benchmark item."""
     names = docs.columns
     held = common.settle(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*(F.col(c) for c in names)).alias("d")), "decontaminate-docs")
-    found = matches(held.select("n", F.col("d.text").alias("text")), items, "n")
+    found = matches(held.select("n", F.col("d.text").alias("text")), items, "n", numbered=True)
     bad = common.settle(found.where("verdict <> 'inconsistent'").select(F.col("doc_id").alias("n")).distinct(), "decontaminate-bad")
     few = bad.count() <= BROADCAST_IDS
     return held.join(F.broadcast(bad) if few else bad, "n", "left_anti").select(*(F.col(f"d.{c}").alias(c) for c in names))

@@ -130,6 +130,13 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate(empty, bank).collect() == [] and decontaminate(odd, items(spark, [(1, None)])).count() == len(ROWS)
 
 
+def test_items_of_few_words_are_not_looked_for(spark):
+    docs = spark.createDataFrame([(1, "what is the answer, one may ask"), (1, "what is the answer, one may ask")], "doc_id long, text string")
+    assert matches(docs, items(spark, [(1, "what is the answer")])).collect() == []
+    twice = matches(docs, items(spark, [(1, "what is the answer, one may ask"), (1, "what is the answer, one may ask"), (2, "one may ask")])).collect()
+    assert [(r["doc_id"], r["item_id"], r["verdict"]) for r in twice] == [(1, 1, "verbatim")] * 2
+
+
 def test_reparameterised_item(spark):
     bank = items(spark, [(1, "a train leaves the town of Springfield at 60 km per hour and travels for 3 hours")])
     docs = [(1, "a train leaves the town of Rivertown at 75 miles per hour and travels for 9 hours"), (2, "a train leaves the town of Springfield at 60 km per hour and travels for 3 hours")]

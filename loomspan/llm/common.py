@@ -33,28 +33,50 @@ def _bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
-def _tidy(function):
-    """function, which gives what it has freed back to the system when a partition ends: workers stay for the next one."""
+def trim() -> None:
+    """Gives what this worker has freed back to the system."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+_kept: list = []
 
-    def run(batches):
-        yield from function(batches)
-        import ctypes
 
-        import pyarrow
+def keep(drop) -> None:
+    """Says how this worker drops what it keeps between tasks."""
+    _kept.append(drop)
 
-        pyarrow.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+
+def drop_kept() -> None:
+    while _kept:
+        _kept.pop()()
+    trim()
+
+
+def _tidy(function, keeps: bool):
+    """function, with a trim when a partition ends: workers stay for the next one. Unless it keeps things between tasks
+    itself, what an operator before it kept in this worker goes first."""
+
+    def run(batches):
+        if not keeps:
+            drop_kept()
+        yield from function(batches)
+        trim()
 
     return run
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema: str, keeps: bool = False) -> DataFrame:
     """mapInArrow, in batches of about BATCH_BYTES unless the session sets its own size."""
     ship(df.sparkSession)
     _bound_batches(df.sparkSession)
-    return df.mapInArrow(_tidy(function), schema)
+    return df.mapInArrow(_tidy(function, keeps), schema)
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -34,6 +34,18 @@ MEMORY, OVERHEAD = 96 << 20, 200
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One a worker, kept from task to task; the first task of another operator drops it (see common.map_arrow)."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+        common.keep(_encoders.clear)
+        common.trim()  # reading a tokenizer takes several times the memory of the result
+    return _encoders[path]
+
+
 class Encoder:
     """ids of whole texts, equal to the tokenizer's own, by way of a memory of white-space separated chunks.
 
@@ -172,7 +184,7 @@ def _packer(path: str, size: int, end_id: int, group_sequences: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(path)  # goes with the partition: the worker may run other operators next
+        encoder = _encoder(path)
         part = TaskContext.get().partitionId() << 32
         end = np.array([end_id], dtype="<u4").tobytes()
         names = [x.split()[0] for x in PIECES.split(", ")]
@@ -195,15 +207,16 @@ def _packer(path: str, size: int, end_id: int, group_sequences: int):
             cut = pa.array([codes[d][4 * a : 4 * (a + k)] for d, a, k, *_ in rows], pa.binary())
             made += -(-sum(lengths) // size)
             ids, codes, held = [], [], 0
+            common.trim()
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out), cut], names=names)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                piece = batch.slice(i, 256)
-                for doc_id, code in zip(piece.column(0).to_pylist(), encoder.encode_many(piece.column(1).to_pylist()), strict=True):
+            for i in range(0, batch.num_rows, 128):
+                piece = batch.slice(i, 128)
+                for doc_id, text in zip(piece.column(0).to_pylist(), encoder.encode_many(piece.column(1).to_pylist()), strict=True):
                     ids.append(doc_id)
-                    codes.append(code + end)
-                    held += len(code) // 4 + 1
+                    codes.append(text + end)
+                    held += len(text) // 4 + 1
                     if held >= group_sequences * size:
                         yield flush()
         if codes:
@@ -223,7 +236,7 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece with its ids (unsigned, little-endian, 32 bits each). Every id lies in exactly one piece and
     sequences are filled without gaps. Sequence ids carry the partition's number in their upper half."""
-    return common.map_arrow(common.texts(docs, id_col, text_col), _packer(tokenizer_path, sequence, end_id, group_sequences), PIECES)
+    return common.map_arrow(common.texts(docs, id_col, text_col), _packer(tokenizer_path, sequence, end_id, group_sequences), PIECES, keeps=True)
 
 
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:

@@ -47,8 +47,6 @@ DIGITS = r"(?:\G|(?<![\w+(]))[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,40}+"
 SAMPLE = 20_000
 PRECISION = 0.98
 NEAR = 24
-#: Rows with spans: ids of up to so many (8 MB) are broadcast, more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 # Words before personal data and before other numbers; spelled-out marks; formats that are not personal
 # (9 stands for a digit, w for a word of the text).
 PERSONAL = r"(?i)(mail|phone|tel|call|fax|mobile|cell|dial|sms|whatsapp|card|visa|account|iban|address|contact|reach)[^\w]{0,3}(?:me|us|at|on|is|by)?[^\w]{0,3}$"
@@ -126,10 +124,11 @@ def _features(value: Column, before: Column, after: Column) -> Column:
     )
 
 
-def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _scanned(docs: DataFrame, id_col: str, text_col: str, held: Column | None = None) -> DataFrame:
     """(row, doc_id, base, more, seeds): base spans, proposals with features and whether a base span overlaps them, and
-    the base addresses and phone numbers with their contexts."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    the base addresses and phone numbers with their contexts. With held, that column and the text stay beside them."""
+    keep = [] if held is None else ["text", "held"]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *([] if held is None else [held.alias("held")]))
     patterns = (EMAIL, IP, CARD, PHONE, AROUND_AT, DIGITS)
     text = F.col("text")
     found = rows.select("*", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m{k}") for k, p in enumerate(patterns)))
@@ -141,7 +140,7 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     found = found.withColumn("base", F.concat(*(F.array_sort(base_of(k)) for k in range(4))))
     more = F.concat(*(F.when(F.size(f"m{k}") > 0, places(text, patterns[k], n, k, F.col(f"m{k}"))).otherwise(empty) for k, n in ((4, "contact"), (5, "number"))))
-    found = found.select("doc_id", "text", "base", more.alias("more"))
+    found = found.select("doc_id", "text", "base", more.alias("more"), *keep[1:])
 
     def marked(s: Column) -> Column:
         before, after = _context(text, s["start"], s["end"])
@@ -155,7 +154,7 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     short = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["end"].alias("end"), b["kind"].alias("kind")))
     seeds = F.transform(F.filter("base", lambda b: b["kind"].isin("email", "phone")), seed)
-    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", short.alias("base"), F.transform("more", marked).alias("more"), seeds.alias("seeds"))
+    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", short.alias("base"), F.transform("more", marked).alias("more"), seeds.alias("seeds"), *keep)
 
 
 def _one_of(texts: tuple[str, ...], k: Column) -> Column:
@@ -221,39 +220,35 @@ def _fit(scanned: DataFrame, docs: DataFrame, text_col: str) -> tuple[Trees, flo
     return (trees, float(good.min() + (less.max() if len(less) else good.min())) / 2) if len(good) else None
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, added): arrays of (start, rank, end, kind), base ones by kind, then start."""
-    scanned = common.settle(_scanned(docs, id_col, text_col), "personal-candidates")
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
+    """(doc_id, base, added): arrays of (start, rank, end, kind), base ones by kind, then start. With held, a column of
+    docs, it and the text, empty where null, come too: what is made of the spans needs no join then."""
+    keep = [] if held is None else ["text", "held"]
+    scanned = common.settle(_scanned(docs, id_col, text_col, held), "personal-candidates")
     model = _fit(scanned, docs, text_col)
     none = F.array().cast("array<struct<start: bigint, rank: int, end: bigint, kind: string>>")
     if model is None:
-        return scanned.select("doc_id", "base", none.alias("added"))
+        return scanned.select("doc_id", "base", none.alias("added"), *keep)
     trees, least = model
-    wide = scanned.select("doc_id", "base", F.filter("more", lambda s: ~s["known"]).alias("open"))
+    wide = scanned.select("doc_id", "base", F.filter("more", lambda s: ~s["known"]).alias("open"), *keep)
     score = lambda s: trees.column([s["x"][k] for k in range(FEATURES)])
     taken = F.filter("open", lambda s: score(s) >= least)
     slim = F.transform(taken, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    wide = wide.select("doc_id", "base", F.when(F.size("open") > 0, slim).otherwise(none).alias("taken"))
+    wide = wide.select("doc_id", "base", F.when(F.size("open") > 0, slim).otherwise(none).alias("taken"), *keep)
     larger = lambda all_, s: F.exists(all_, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]) & ((t["end"] - t["start"] > s["end"] - s["start"]) | ((t["end"] - t["start"] == s["end"] - s["start"]) & (t["rank"] < s["rank"]))))
-    return wide.select("doc_id", "base", let(F.col("taken"), lambda all_: F.filter(all_, lambda s: ~larger(all_, s))).alias("added"))
+    return wide.select("doc_id", "base", let(F.col("taken"), lambda all_: F.filter(all_, lambda s: ~larger(all_, s))).alias("added"), *keep)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span's characters in text replaced by <kind>, all columns kept. Base spans come first; an added
     span never overlaps one, and of overlapping base spans the earlier, then longer, names the place."""
     names = docs.columns
-    held = common.settle(docs.select(F.struct(*(F.col(c) for c in names)).alias("d"), F.monotonically_increasing_id().alias("row")), "personal-docs")
-    spans = find_personal_data(held.select("row", F.col(f"d.{text_col}").alias("text")), "row", "text")
+    others = [c for c in names if c != text_col]
+    held = F.struct(F.col(text_col).isNull().alias("empty"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(others)))
+    found = find_personal_data(docs, id_col, text_col, held)
     every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
-    spans = spans.select(F.col("doc_id").alias("row"), every.alias("spans")).where(F.size("spans") > 0)
-    spans = common.settle(spans, "personal-spans")
-    if spans.count() <= BROADCAST_ROWS:  # only rows with spans meet them in a shuffle
-        ids = F.broadcast(spans.select("row"))
-        wide = held.join(ids, "row", "left_semi").join(spans, "row")
-        rest = held.join(ids, "row", "left_anti").select(*(F.col(f"d.{c}").alias(c) for c in names))
-    else:
-        wide, rest = held.join(spans, "row", "left"), None
-    text = F.coalesce(F.col(f"d.{text_col}"), F.lit(""))
+    wide = found.select("text", "held", every.alias("spans"))
+    text = F.col("text")
     piece = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
@@ -263,9 +258,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ).otherwise(F.struct(F.greatest(acc["at"], -s["last"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"].cast("int") + 1, F.lit(2147483647))),
     )
-    cleaned = F.when(F.size("spans") > 0, piece).otherwise(F.col(f"d.{text_col}"))
-    out = wide.select(*(cleaned.alias(c) if c == text_col else F.col(f"d.{c}").alias(c) for c in names))
-    return out if rest is None else out.unionByName(rest)
+    cleaned = F.when(F.size("spans") > 0, piece).when(~F.col("held.empty"), text)
+    return wide.select(*((cleaned if c == text_col else F.col(f"held.c{others.index(c)}")).alias(c) for c in names))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:

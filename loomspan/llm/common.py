@@ -13,12 +13,19 @@ from loomspan.shipping import ship
 
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 2 << 20
-_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Rows that a Parquet reader decodes at once; whole texts make buffers of tens of megabytes by Spark's default.
+READ_ROWS = 512
+#: Settings that are put where the session leaves Spark's default: name, the default, ours.
+_BOUNDS = (
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(BATCH_BYTES)),
+    ("spark.sql.parquet.columnarReaderBatchSize", "4096", str(READ_ROWS)),
+)
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,8 +36,9 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 def _bound_batches(spark: SparkSession) -> None:
     """Whole texts make batches of tens of megabytes by Spark's default; both sides of the pipe keep such buffers."""
-    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    for key, default, bound in _BOUNDS:
+        if spark.conf.get(key) == default:  # with a default given, an unset key would read as that
+            spark.conf.set(key, bound)
 
 
 def trim() -> None:

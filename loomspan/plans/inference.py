@@ -20,14 +20,18 @@ both("alpha_decay_classifier", f"SELECT trade_date, CASE WHEN abs(ic) < 0.02 THE
 both("neutralization_fidelity", "SELECT trade_date, round(c2 / nullif(c1, 0), 4) AS retention, sign(c1) = sign(c2) AS same_sign FROM (SELECT trade_date, covar_pop(cap, ret) / nullif(sqrt(var_pop(cap) * var_pop(ret)), 0) AS c1, covar_pop(d, ret) / nullif(sqrt(var_pop(d) * var_pop(ret)), 0) AS c2 FROM (SELECT trade_date, cap, ret, cap - avg(cap) OVER (PARTITION BY trade_date, board) AS d FROM supr WHERE ret IS NOT NULL) x GROUP BY trade_date HAVING count(*) > 20) y")
 both("purged_kfold", "SELECT f.fold, m.trade_date, CASE WHEN m.k BETWEEN f.lo AND f.hi THEN 'test' WHEN m.k BETWEEN f.lo - 2 AND f.hi + 3 THEN 'purged' ELSE 'train' END AS part FROM mon m CROSS JOIN (SELECT CAST(floor((k - 1) / 17.0) AS BIGINT) AS fold, min(k) AS lo, max(k) AS hi FROM mon GROUP BY floor((k - 1) / 17.0)) f")
 _LAG = 3
-_NW = f"SELECT round(m, 6) AS mean, round(sqrt(greatest(v + 2 * ({' + '.join(f'{1 - j / (_LAG + 1)} * c{j}' for j in range(1, _LAG + 1))}), 0) / n), 6) AS se FROM (SELECT max(m) AS m, count(*) AS n, avg(d * d) AS v, {', '.join(f'sum(d * d{j}) / count(*) AS c{j}' for j in range(1, _LAG + 1))} FROM (SELECT d, m, {', '.join(f'lag(d, {j}) OVER (ORDER BY trade_date) AS d{j}' for j in range(1, _LAG + 1))} FROM (SELECT trade_date, avg(ic) OVER () AS m, ic - avg(ic) OVER () AS d FROM ({_IC}) x) y) z) u"
-both("newey_west_mean", _NW)
+
+
+def newey_west_text(series: str) -> str:
+    """Mean and standard error of a series of (trade_date, ic)."""
+    return f"SELECT round(m, 6) AS mean, round(sqrt(greatest(v + 2 * ({' + '.join(f'{1 - j / (_LAG + 1)} * c{j}' for j in range(1, _LAG + 1))}), 0) / n), 6) AS se FROM (SELECT max(m) AS m, count(*) AS n, avg(d * d) AS v, {', '.join(f'sum(d * d{j}) / count(*) AS c{j}' for j in range(1, _LAG + 1))} FROM (SELECT d, m, {', '.join(f'lag(d, {j}) OVER (ORDER BY trade_date) AS d{j}' for j in range(1, _LAG + 1))} FROM (SELECT trade_date, avg(ic) OVER () AS m, ic - avg(ic) OVER () AS d FROM ({series}) x) y) z) u"
+
+
+both("newey_west_mean", newey_west_text(_IC))
 both("summarize_ic", f"SELECT count(*) AS n, round(avg(ic), 6) AS mean, round(PCT(ic; 0.5), 6) AS median, round(stddev_samp(ic), 6) AS sd, round(avg(ic) / nullif(stddev_samp(ic), 0), 5) AS ir FROM ({_IC}) x")
-both("placebo_zero_gate", f"SELECT abs(avg(ic)) < 2 * stddev_samp(ic) / sqrt(count(*)) AS passed FROM ({_IC}) x")
 both("rolling_mean_series", f"SELECT trade_date, CASE WHEN count(*) OVER w = 6 THEN round(avg(ic) OVER w, 6) END AS m FROM ({_IC}) x WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
 both("serial_autocorrelation", f"SELECT round(covar_pop(ic, p) / nullif(sqrt(var_pop(ic) * var_pop(p)), 0), 5) AS ac1 FROM (SELECT ic, lag(ic) OVER (ORDER BY trade_date) AS p FROM ({_IC}) x) y WHERE p IS NOT NULL")
 both("linear_quantile", f"SELECT round(PCT(ic; 0.05), 6) AS q05, round(PCT(ic; 0.95), 6) AS q95 FROM ({_IC}) x")
-both("permutation_null_gate", f"SELECT PCT(ic; 0.025) <= 0 AND PCT(ic; 0.975) >= 0 AS contains_zero FROM ({_IC}) x")
 _CURVE = " UNION ALL ".join(f"SELECT CAST({j} AS BIGINT) AS off, covar_pop(a.cap, b.ret) / nullif(sqrt(var_pop(a.cap) * var_pop(b.ret)), 0) AS c FROM supr a JOIN supr b ON b.asset_id = a.asset_id AND b.k = a.k + {j} WHERE b.ret IS NOT NULL" for j in range(4))
 both("alignment_curve", f"SELECT off, round(c, 5) AS c FROM ({_CURVE}) x")
 both("centered_peak_gate", f"SELECT bool_and(off = 0 OR abs(c) <= top) AS peak_at_zero FROM (SELECT off, c, max(CASE WHEN off = 0 THEN abs(c) END) OVER () AS top FROM ({_CURVE}) x) y")
@@ -48,7 +52,6 @@ both("stratified_label_permutation", "SELECT a.asset_id, a.trade_date, b.asset_i
 both("whole_date_time_shuffle", "SELECT e.asset_id, e.trade_date, m.src FROM sup e JOIN (SELECT a.trade_date, b.trade_date AS src FROM mon a JOIN (SELECT trade_date, row_number() OVER (ORDER BY (k * 7919) % 104729, k) AS rn FROM mon) b ON b.rn = a.k) m ON m.trade_date = e.trade_date")
 both("cross_chain_validation", "SELECT a.board, round(a.m / nullif(b.m, 0), 4) AS ratio, a.m / nullif(b.m, 0) BETWEEN 0.2 AND 5 AS ok FROM (SELECT board, avg(ret) AS m FROM supr WHERE k < 40 GROUP BY board) a JOIN (SELECT board, avg(ret) AS m FROM supr WHERE k >= 40 GROUP BY board) b ON b.board = a.board")
 both("replay_summary", f"SELECT count(*) AS n, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS sd, round(stddev_samp(ic) / sqrt(count(*)), 6) AS mc_se, round(PCT(ic; 0.025), 6) AS lo, round(PCT(ic; 0.975), 6) AS hi FROM ({_IC}) x")
-both("monte_carlo_p_value", f"SELECT (1 + count_if(abs(ic) >= obs)) / CAST(count(*) + 1 AS DOUBLE) AS p FROM (SELECT ic, max(CASE WHEN k = 40 THEN abs(ic) END) OVER () AS obs FROM ({_IC}) x) y")
 _Z = 1.959963984540054
 both("wilson_interval", f"SELECT round((p + {_Z * _Z} / (2 * n)) / d - h, 6) AS lo, round((p + {_Z * _Z} / (2 * n)) / d + h, 6) AS hi FROM (SELECT p, n, 1 + {_Z * _Z} / n AS d, {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n)) / (1 + {_Z * _Z} / n) AS h FROM (SELECT avg(CAST(CASE WHEN ic > 0 THEN 1 ELSE 0 END AS DOUBLE)) AS p, CAST(count(*) AS DOUBLE) AS n FROM ({_IC}) a) x) y")
 # A canary knows the next return but for noise from a hash; a placebo is that noise alone. Leaks show as a canary that the

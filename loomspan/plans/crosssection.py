@@ -23,9 +23,66 @@ both("inverse_variance_weight", "SELECT asset_id, round(least(greatest(w / wm, 0
 both("momentum_descriptor", "SELECT asset_id, trade_date, CASE WHEN n >= 8 THEN round(exp(s) - 1, 4) END AS momentum FROM (SELECT asset_id, trade_date, count(r) OVER w AS n, sum(r) OVER w AS s FROM (SELECT asset_id, trade_date, CASE WHEN ret > -1 THEN ln(1 + ret) / 20 END AS r FROM supr) x WINDOW w AS (PARTITION BY asset_id ORDER BY trade_date ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING)) y")
 both("weight_metric_contract", "SELECT p.asset_id, p.trade_date, round(coalesce(w.w, sqrt(p.cap)), 5) AS weight FROM sup p LEFT JOIN (SELECT asset_id, avg(cap) / 1000 AS w FROM sup WHERE board < 2 GROUP BY asset_id) w ON w.asset_id = p.asset_id")
 both("frozen_composite_residual", "SELECT trade_date, round(sxy / nullif(sxx, 0), 6) AS beta FROM (SELECT trade_date, regr_sxy(disc, tax) AS sxy, regr_sxx(disc, tax) AS sxx FROM prt GROUP BY trade_date) x")
-both("grouped_residual_correlation", "WITH r AS (SELECT asset_id, industry, trade_date, ret - avg(ret) OVER (PARTITION BY trade_date) AS e FROM supr WHERE ret IS NOT NULL), c AS (SELECT a.industry, a.asset_id AS i, b.asset_id AS j, covar_pop(a.e, b.e) / nullif(sqrt(var_pop(a.e) * var_pop(b.e)), 0) AS c FROM r a JOIN r b ON b.trade_date = a.trade_date AND b.industry = a.industry AND a.asset_id < b.asset_id GROUP BY a.industry, a.asset_id, b.asset_id HAVING count(*) >= 10) SELECT industry, count(*) AS pairs, round(avg(c), 5) AS mean_corr FROM c GROUP BY industry")
 both("weighted_normal_equations", "SELECT trade_date, round(sum(vol), 4) AS w, round(sum(vol * disc) + 1e-7, 3) AS wx, round(sum(vol * disc * disc) + 1e-7, 3) AS wxx, round(sum(vol * tax) + 1e-7, 3) AS wy, round(sum(vol * disc * tax) + 1e-7, 3) AS wxy FROM prt GROUP BY trade_date")
 
+_BLOCK = 1024  # assets of a block
+_TILE = 256  # rows that are worked out at once
+
+
+def _on_dates(g: pd.DataFrame, dates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Presence, residuals (as distances from each asset's first finite one; absent: 0) and non-finite residuals, asset by date."""
+    there, e, odd = (np.zeros((len(g), len(dates))) for _ in range(3))
+    for i, (k, v) in enumerate(zip(g["ks"], g["es"], strict=True)):
+        at, v = np.searchsorted(dates, k), np.asarray(v, float)
+        fine = np.isfinite(v)
+        there[i, at], odd[i, at] = 1, ~fine
+        e[i, at] = np.where(fine, v - v[fine.argmax()], 0)
+    return there, e, odd
+
+
+def _correlated(g: pd.DataFrame) -> pd.DataFrame:
+    """Two blocks of an industry: pairs that share ten dates, those that aren't numbers, and the number and sum of the others that are defined."""
+    g = g.sort_values("asset_id")
+    left, right = g[g["b"] == g["p"]], g[g["b"] == g["q"]]
+    same = g["p"].iloc[0] == g["q"].iloc[0]
+    dates = np.unique(np.concatenate(g["ks"].to_list()))
+    (ma, ea, oa), (mb, eb, ob) = _on_dates(left, dates), _on_dates(right, dates)
+    pairs, odd, defined, total = 0, 0, 0, 0.0
+    for lo in range(0, len(left), _TILE):
+        m, e, o = (x[lo : lo + _TILE] for x in (ma, ea, oa))
+        n = m @ mb.T
+        wanted = n >= 10
+        if same:
+            wanted &= np.arange(lo, lo + len(m))[:, None] < np.arange(len(right))[None, :]
+        n = np.maximum(n, 1)
+        sa, sb, qa, qb = e @ mb.T / n, m @ eb.T / n, e**2 @ mb.T / n, m @ (eb**2).T / n
+        va, vb = qa - sa * sa, qb - sb * sb
+        cov = e @ eb.T / n - sa * sb
+        # where little is left of the squares, from the shared dates themselves: equal residuals have no variance
+        for i, j in np.argwhere(wanted & (((qa > 0) & (va <= 1e-8 * qa)) | ((qb > 0) & (vb <= 1e-8 * qb)))):
+            both_there = (m[i] > 0) & (mb[j] > 0)
+            x, y = e[i, both_there] - e[i, both_there][0], eb[j, both_there] - eb[j, both_there][0]
+            x, y = x - x.mean(), y - y.mean()
+            va[i, j], vb[i, j], cov[i, j] = x @ x / len(x), y @ y / len(y), x @ y / len(x)
+        scale = np.sqrt(np.maximum(va, 0) * np.maximum(vb, 0))
+        broken = wanted & (o @ mb.T + m @ ob.T > 0)
+        known = wanted & ~broken & (scale > 0)
+        pairs, odd, defined, total = pairs + int(wanted.sum()), odd + int(broken.sum()), defined + int(known.sum()), total + float((cov[known] / scale[known]).sum())
+    return pd.DataFrame({"industry": [g["industry"].iloc[0]], "pairs": [pairs], "odd": [odd], "defined": [defined], "total": [total]})
+
+
+@query("grouped_residual_correlation", "WITH r AS (SELECT asset_id, industry, trade_date, ret - avg(ret) OVER (PARTITION BY trade_date) AS e FROM supr WHERE ret IS NOT NULL), c AS (SELECT a.industry, a.asset_id AS i, b.asset_id AS j, covar_pop(a.e, b.e) / nullif(sqrt(var_pop(a.e) * var_pop(b.e)), 0) AS c FROM r a JOIN r b ON b.trade_date = a.trade_date AND b.industry = a.industry AND a.asset_id < b.asset_id GROUP BY a.industry, a.asset_id, b.asset_id HAVING count(*) >= 10) SELECT industry, count(*) AS pairs, round(avg(c), 5) AS mean_corr FROM c GROUP BY industry")
+def grouped_residual_correlation(spark, sf_dir):
+    """All pairs as products of matrices: blocks of an industry's assets meet two by two, rows of pairs are never made."""
+    ship(spark)
+    rest = view(spark, sf_dir, "supr").where("ret IS NOT NULL").selectExpr("industry", "asset_id", "k", "ret - avg(ret) OVER (PARTITION BY trade_date) AS e")
+    assets = rest.groupBy("industry", "asset_id").agg(F.collect_list("k").alias("ks"), F.collect_list("e").alias("es"))
+    numbered = assets.selectExpr("*", "row_number() OVER (PARTITION BY industry ORDER BY asset_id) AS at", "count(*) OVER (PARTITION BY industry) AS of")
+    dealt = numbered.selectExpr("industry", "asset_id", "ks", "es", f"CAST((at - 1) div {_BLOCK} AS INT) AS b", f"explode(sequence(0, CAST((of - 1) div {_BLOCK} AS INT))) AS other")
+    met = dealt.selectExpr("industry", "asset_id", "ks", "es", "b", "least(b, other) AS p", "greatest(b, other) AS q")
+    sums = met.groupBy("industry", "p", "q").applyInPandas(_correlated, "industry int, pairs long, odd long, defined long, total double")
+    return sums.groupBy("industry").agg(F.sum("pairs").alias("pairs"), F.expr("CASE WHEN sum(odd) > 0 THEN double('NaN') ELSE round(sum(total) / nullif(sum(defined), 0), 5) END").alias("mean_corr")).where("pairs > 0")
+
 
 def _by_date(df: DataFrame, function, schema: str, key: str = "trade_date") -> DataFrame:
     ship(df.sparkSession)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspan import catalog, plans
 from loomspan.functions import dense
+from loomspan.plans.crosssection import _correlated
 from loomspan.plans.market import equity_account
 
 assert plans
@@ -57,3 +58,39 @@ def test_a_price_beyond_the_limit_locks_trading():
     day = datetime.datetime(2025, 1, 2)
     out = equity_account()(_orders((1, day, "O", 10.0), (2, day + datetime.timedelta(1), "F", 20.0)))
     assert list(out["locked"]) == [False, True] and list(out["traded"]) == [500, 0]
+
+
+def test_pairs_of_an_industry_are_never_rows(spark, sf):
+    plan = catalog.QUERIES["grouped_residual_correlation"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "asset_id" in x and " < " in x]
+
+
+def test_correlations_of_blocks_are_those_of_pairs():
+    rng = np.random.default_rng(5)
+    rows = []
+    for a in range(600):
+        ks = np.sort(rng.choice(40, rng.integers(3, 40), replace=False))
+        es = rng.normal(size=len(ks)) + (a % 3) * 50
+        if a % 50 == 0:
+            es[:] = 0.1
+        if a % 50 == 1:
+            es[:-1] = 0.3  # equal on most shared dates
+        if a == 7:
+            es[0] = np.nan
+        rows.append((3, a, ks, es, a // 300))
+    g = pd.DataFrame(rows, columns=["industry", "asset_id", "ks", "es", "b"])
+    pairs, kept = 0, {}
+    for i in range(600):
+        for j in range(i + 1, 600):
+            _, x, y = np.intersect1d(rows[i][2], rows[j][2], assume_unique=True, return_indices=True)
+            if len(x) >= 10:
+                pairs += 1
+                x, y = rows[i][3][x], rows[j][3][y]
+                if np.isnan(x.sum() + y.sum()):
+                    kept[i, j] = np.nan
+                elif np.ptp(x) and np.ptp(y):
+                    kept[i, j] = np.corrcoef(x, y)[0, 1]
+    out = pd.concat([_correlated(g[g["b"].isin([p, q])].assign(p=p, q=q)) for p, q in ((0, 0), (0, 1), (1, 1))])
+    known = [c for c in kept.values() if not np.isnan(c)]
+    assert out["pairs"].sum() == pairs and out["defined"].sum() == len(known) and out["odd"].sum() == len(kept) - len(known) > 0
+    assert len(known) < pairs and abs(out["total"].sum() - sum(known)) < 1e-6

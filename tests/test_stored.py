@@ -10,7 +10,7 @@ from tests.oracle import TABLES, connection, difference
 
 assert plans
 SMALL = "/root/testdata/sf0.01"
-EVENTS = ("arg_max", "audit_universe_flags")
+EVENTS = ("arg_max", "audit_universe_flags", "bucket_larger_first")
 SUPPLIERS = ()
 
 

@@ -36,7 +36,7 @@ both("momentum_12_1", f"SELECT asset_id, trade_date, CASE WHEN count(r) OVER w >
 both("reversal_1m", f"SELECT asset_id, trade_date, CASE WHEN count(r) OVER w >= 4 THEN round(sum(r) OVER w, 6) END AS rev FROM (SELECT asset_id, trade_date, CASE WHEN ret > -1 THEN ln(1 + ret) END AS r FROM evr) x WINDOW w AS ({_A} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
 both("ntile_deciles", "SELECT asset_id, trade_date, CAST(ntile(10) OVER (PARTITION BY trade_date ORDER BY cap, asset_id) AS BIGINT) AS decile FROM sup")
 both("ntile_with_tiebreak", "SELECT asset_id, trade_date, CAST(ntile(5) OVER (PARTITION BY trade_date ORDER BY volume, asset_id) AS BIGINT) AS q FROM ev")
-both("liquidity_groups", "SELECT asset_id, trade_date, CAST(ntile(10) OVER (PARTITION BY trade_date ORDER BY disc, asset_id) AS BIGINT) AS g FROM sup")
+both("liquidity_groups", "SELECT asset_id, trade_date, CAST(ntile(10) OVER (PARTITION BY trade_date ORDER BY disc, asset_id) AS BIGINT) AS g FROM sup", stored=True)
 both("bucket_larger_first", "SELECT asset_id, trade_date, CAST(ntile(4) OVER (PARTITION BY trade_date ORDER BY px, asset_id) AS BIGINT) AS g FROM ev", stored=True)
 both("floor_rank_bins", "SELECT asset_id, trade_date, least(CAST(floor((rn - 1) * 7.0 / n) AS BIGINT), 6) AS bin FROM (SELECT asset_id, trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY cap, asset_id) AS rn, count(*) OVER (PARTITION BY trade_date) AS n FROM sup) x")
 

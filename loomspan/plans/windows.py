@@ -62,4 +62,4 @@ both("one_way_turnover", "WITH w AS (SELECT p.asset_id, m.k, p.cap / sum(p.cap)
 def rank_lag_panel(spark, sf_dir):
     from pyspark.sql import Window
 
-    return view(spark, sf_dir, "sup").select("asset_id", "trade_date", F.rank().over(Window.partitionBy("trade_date").orderBy(F.desc("cap"))).cast("long").alias("r"))
+    return view(spark, sf_dir, "sup", stored=True).select("asset_id", "trade_date", F.rank().over(Window.partitionBy("trade_date").orderBy(F.desc("cap"))).cast("long").alias("r"))

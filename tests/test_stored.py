@@ -11,7 +11,7 @@ from tests.oracle import TABLES, connection, difference
 assert plans
 SMALL = "/root/testdata/sf0.01"
 EVENTS = ("arg_max", "audit_universe_flags", "bucket_larger_first")
-SUPPLIERS = ("liquidity_groups", "quintile_spread")
+SUPPLIERS = ("liquidity_groups", "quintile_spread", "rank_lag_panel")
 
 
 @pytest.fixture(scope="module")

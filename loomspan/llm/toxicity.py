@@ -84,7 +84,7 @@ def features(text: str, learned: dict[str, float]) -> list[float]:
     at = set(you)
     near = sum(1 for h in hits if any(h + k in at for k in range(-NEAR, NEAR + 1))) if at else 0
     chars = len(text) or 1
-    upper = sum(map(str.isupper, text)) if chars < 2000 else chars - len(text.translate(_DROP_UPPER))
+    upper = sum(map(text.count, filter(str.isupper, set(text))))
     loud = sum(1 for w in text.split() if len(w) > 2 and w.isupper())
     exclaim = text.count("!")
     return [
@@ -108,9 +108,6 @@ def features(text: str, learned: dict[str, float]) -> list[float]:
     ]
 
 
-_DROP_UPPER = {i: None for i in range(0x250) if chr(i).isupper()}
-
-
 def lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
     """sample: (text, toxic). The words with the highest smoothed log odds of standing in a toxic document."""
     words = F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))

@@ -282,3 +282,9 @@ def test_trees_and_calibration(spark):
     assert np.allclose(got, trees.margin(x[:50]))
     knots, values = gbt.isotonic(np.array([1.0, 2, 2, 3, 4]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all()
+
+
+def test_capitals_count_alike_in_texts_of_any_length():
+    unit = "Ты ПЛОХОЙ Ωμέγα ЖⅠ Abc "
+    short, long = (toxicity.features(unit * n, {}) for n in (10, 1000))
+    assert short[12] == long[12] == sum(map(str.isupper, unit)) / len(unit)

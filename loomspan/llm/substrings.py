@@ -6,7 +6,10 @@ windows have equal owners at equal offsets, so windows of one gram, and only tho
 occurrence of a gram with the run of windows that it owns; its context is the run's bytes, 100 to 184 of them.
 
 1. Anchors go to the tasks by gram. Of equal contexts the earliest stays; the others' windows are all repeated. Grams
-   with a single context end here, which is most of them.
+   with a single context end here, which is most of them. So do contexts that can't share a window with another of their
+   gram: an anchor's windows fall into SIDES classes by the gram's offset, and a class's windows have a core in common, of
+   79 bytes or more, whose fingerprints are compared. Without it, ever more pairs that agree in their gram alone would be sorted
+   as the input grows.
 2. What is left meets by gram in blocks of whole grams. A block's contexts are sorted as one string by the
    difference-cover algorithm (`suffix.py`); adjacent suffixes with a common prefix of `length` bytes form classes, and
    all windows of a class but the earliest are repeated.
@@ -36,12 +39,14 @@ LENGTH = 100
 GRAM = 16
 #: Window starts worked on at a time, and bytes of contexts sorted at a time.
 SLICE, BLOCK = 1 << 20, 1 << 20
+#: Classes of windows by their gram's offset, with 16 bits each in an anchor's sides; rows that are compared at a time.
+SIDES, COMPARED = 4, 1 << 17
 #: Contexts of one gram beyond which it is dealt by windows.
 BLOCK_CONTEXTS = 4096
 #: Ids of texts to read again: up to so many (8 MB) are broadcast to the scan, more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-ANCHORS = "gram long, context long, doc long, place long"
+ANCHORS = "gram long, context long, doc long, place long, sides long"
 RUNS = "kind int, gram long, doc long, place long"
 CONTEXTS = "gram long, doc long, place long, bytes binary"
 BLOCKS = "kind int, doc long, start long, n long, bytes binary"
@@ -64,11 +69,11 @@ _UP, _DOWN = _powers(_BASE, SLICE + 4096), _powers(_INVERSE, SLICE + 4096)
 
 def _anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Anchors of the texts that begin at starts in data, at most SLICE + length bytes together:
-    text number, gram, context, first window, windows - 1, gram's offset in the first window."""
+    text number, gram, context, first window, windows - 1, gram's offset in the first window, sides."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n < 1:
-        return none, none, none, none, none, none
+        return none, none, none, none, none, none, none
     value = _VALUE[data]
     grams, k = value, 1
     while k < GRAM:
@@ -90,7 +95,7 @@ def _anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
     first[1:] &= ~inside[:-1] | (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])
     lo = np.flatnonzero(first)
     if not len(lo):
-        return none, none, none, none, none, none
+        return none, none, none, none, none, none, none
     last = inside.copy()
     last[:-1] &= ~inside[1:] | (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])
     hi = np.flatnonzero(last)
@@ -100,7 +105,14 @@ def _anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
     off = owner[lo] - lo
     shape = ((hi - lo) << 8 | off).astype(np.uint64)
     context = wordhash.mix(wordhash.mix(context ^ grams[owner[lo]]) + shape)
-    return number[lo], grams[owner[lo]].view(np.int64), context.view(np.int64), lo - starts[number[lo]], hi - lo, off
+    sides = np.zeros(len(lo), np.uint64)
+    for k in range(SIDES):
+        a, b = k * wide // SIDES, (k + 1) * wide // SIDES - 1  # windows with the gram at a .. b share the bytes from the last's start to the first's end
+        some = np.flatnonzero((off - (hi - lo) <= b) & (off >= a)) if a <= b else none
+        begin = owner[lo[some]] - a
+        core = wordhash.mix((sums[begin + length - (b - a)] - sums[begin]) * _DOWN[begin])
+        sides[some] |= (core >> np.uint64(48) | np.uint64(1)) << np.uint64(16 * k)  # 0: no windows
+    return number[lo], grams[owner[lo]].view(np.int64), context.view(np.int64), lo - starts[number[lo]], hi - lo, off, sides.view(np.int64)
 
 
 def _texts(raw: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -122,36 +134,66 @@ def _anchored(length: int):
             parts = []
             for data, starts, numbers, shift in _texts(raw, at, length):
                 keep = np.append(starts[1:], len(data)) > starts  # empty texts own no bytes
-                number, gram, context, lo, more, off = _anchors(data, starts[keep], length)
-                parts.append((gram, context, ids[numbers[keep][number]] if len(number) else number, (lo + shift) << 16 | more << 8 | off))
+                number, gram, context, lo, more, off, sides = _anchors(data, starts[keep], length)
+                parts.append((gram, context, ids[numbers[keep][number]] if len(number) else number, (lo + shift) << 16 | more << 8 | off, sides))
             if not parts:
                 continue
-            gram, context, doc, place = (np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True))
-            order = np.lexsort((place, doc))
-            gram, context, doc, place = gram[order], context[order], doc[order], place[order]
-            _, first, inverse = np.unique(context, return_index=True, return_inverse=True)
-            lead = first[inverse]
+            gram, context, doc, place, sides = (np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True))
+            if ((doc[1:] < doc[:-1]) | (doc[1:] == doc[:-1]) & (place[1:] < place[:-1])).any():
+                order = np.lexsort((place, doc))
+                gram, context, doc, place, sides = gram[order], context[order], doc[order], place[order], sides[order]
+            order = np.argsort(context)
+            ranked = context[order]
+            heads = np.flatnonzero(np.append([True], ranked[1:] != ranked[:-1])) if len(order) else order
+            lead = np.empty(len(order), np.int64)
+            if len(order):
+                lead[order] = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.append(heads, len(order))))
             again = (doc != doc[lead]) | (place >> 16 != place[lead] >> 16)
             # repeated in this batch already: dealt by document, with a mark in the place's sign
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(again, wordhash.mix(doc.view(np.uint64)).view(np.int64), gram)), pa.array(context), pa.array(doc), pa.array(np.where(again, ~place, place))],
-                names=["gram", "context", "doc", "place"],
+                [pa.array(np.where(again, wordhash.mix(doc.view(np.uint64)).view(np.int64), gram)), pa.array(context), pa.array(doc), pa.array(np.where(again, ~place, place)), pa.array(np.where(again, 0, sides))],
+                names=["gram", "context", "doc", "place", "sides"],
             )
 
     return anchored
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _alike(group: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Which contexts agree in a class of windows with another of their group."""
+    sides, of = sides.view(np.uint64), group.astype(np.uint64) << np.uint64(18)
+    out = np.zeros(len(group), bool)
+    for k in range(SIDES):
+        core = sides >> np.uint64(16 * k) & np.uint64(0xFFFF)
+        some = np.flatnonzero(core)
+        _, inverse, counts = np.unique(of[some] | core[some], return_inverse=True, return_counts=True)
+        out[some] |= counts[inverse] > 1
+    return out
+
+
 def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of gram, context, doc, place. Out: repeated runs (kind 0), and the earliest of each context
-    where a gram has several (kind 1). What it holds between batches is one row of each kind."""
+    where a gram has several (kind 1), without those that are like no other where all of the gram is at hand.
+    What it holds between the parts that it compares is one row of each kind."""
     gram_now = context_now = None
     lead = None  # earliest of the open context: doc, place
     waiting = None  # the open gram's only context so far
-    for batch in batches:
-        gram, context, doc, place = (batch.column(k).to_numpy() for k in range(4))
+    for batch in _gathered(batches, COMPARED):
+        gram, context, doc, place, sides = (batch.column(k).to_numpy() for k in range(5))
         marked = place < 0
         out = [(np.zeros(int(marked.sum()), np.int32), gram[marked], doc[marked], ~place[marked])]
-        gram, context, doc, place = gram[~marked], context[~marked], doc[~marked], place[~marked]
+        gram, context, doc, place, sides = gram[~marked], context[~marked], doc[~marked], place[~marked], sides[~marked]
         if len(gram):
             new_gram = np.append([gram_now is None or gram[0] != gram_now], gram[1:] != gram[:-1])
             new = new_gram | np.append([context_now is None or context[0] != context_now], context[1:] != context[:-1])
@@ -168,7 +210,10 @@ def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 waiting = None
             several = counts > 1
             several[0] = True
-            keep = heads[several[group]] if len(group) else heads
+            stay = several[group]
+            inner = np.flatnonzero(stay & (group > 0) & (group < group[-1])) if len(group) else group  # the rest may go on
+            stay[inner] = _alike(group[inner], sides[heads[inner]])
+            keep = heads[stay]
             out.append((np.ones(len(keep), np.int32), gram[keep], doc[keep], place[keep]))
             if len(group) and group[-1] > 0:
                 waiting = (int(gram[heads[-1]]), int(doc[heads[-1]]), int(place[heads[-1]])) if counts[group[-1]] == 1 else None
@@ -199,6 +244,19 @@ def _cut(length: int):
     return cut
 
 
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the `length` bytes from a on equal those from b on. Neighbours in suffix order differ at the end first."""
+    left = np.arange(len(a))
+    for k in range(length - 1, -1, -8):
+        left = left[data[a[left] + k] == data[b[left] + k]]
+    views = np.lib.stride_tricks.sliding_window_view(data, length)
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(left), 8192):
+        part = left[i : i + 8192]
+        out[part] = (views[a[part]] == views[b[part]]).all(axis=1)
+    return out
+
+
 def _repeated(doc: np.ndarray, place: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of the windows in these contexts that an earlier one equals."""
     size = np.array([len(x) for x in data])
@@ -206,17 +264,15 @@ def _repeated(doc: np.ndarray, place: np.ndarray, data: list[bytes], length: int
     joined = np.frombuffer(b"\xff".join(data) + b"\xff", np.uint8)  # no UTF-8 text has this byte
     windows = size - length + 1
     at = np.repeat(begin, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    window = np.full(len(joined), -1, np.int32)  # the window that begins at a byte
+    window[at] = np.arange(len(at), dtype=np.int32)
+    order = window[suffix_array(joined)]
+    order = order[order >= 0]
     of = np.repeat(np.arange(len(data)), windows)
     start = (place[of] >> 16) + at - begin[of]
-    rank = np.empty(len(joined), np.int64)
-    rank[suffix_array(joined)] = np.arange(len(joined))
-    order = np.argsort(rank[at])
     at, of, start = at[order], of[order], start[order]
     same = np.zeros(len(at), bool)
-    views = np.lib.stride_tricks.sliding_window_view(joined, length)
-    for i in range(1, len(at), 8192):  # adjacent prefixes
-        j = min(i + 8192, len(at))
-        same[i:j] = (views[at[i:j]] == views[at[i - 1 : j - 1]]).all(axis=1)
+    same[1:] = _same(joined, at[1:], at[:-1], length)  # adjacent prefixes
     group = np.cumsum(~same)
     d = doc[of]
     order = np.lexsort((start, d, group))
